@@ -147,7 +147,7 @@ def hot_keys(table: DataFrame, min_docs: int = MIN_DOCS, unique: bool = False) -
 def filters(hot: DataFrame, shards: int) -> DataFrame:
     """(shard, filter): the cuckoo filter of each shard's hot keys, built where the shard's keys are."""
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([CuckooFilter.of(sorted(table.column("key").to_pylist())).to_bytes()], pa.binary())], names=["shard", "filter"])
 
     low = F.conv(_little(), 16, 10).cast("long")

@@ -187,8 +187,8 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
     whole = members.join(many, "component", "left_anti").select(F.col("component").alias("grp"), F.lit(None).cast("long").alias("value"), "node", "n_shingles")
     single = members.join(many, "component", "left_semi").join(stars.select(F.col("rep").alias("node"), "value"), "node").select(F.col("component").alias("grp"), "value", "node", "n_shingles")
     placed = whole.unionByName(single)
-    weights = placed.groupBy("grp", "value").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(weights, placed["grp"].eqNullSafe(weights["grp"]) & placed["value"].eqNullSafe(weights["value"])).select(placed["grp"], placed["value"], "node", "blocks")
+    weights = placed.groupBy("grp", "value").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")).withColumnsRenamed({"grp": "_grp", "value": "_value"})
+    placed = placed.join(weights, (F.col("grp") == F.col("_grp")) & F.col("value").eqNullSafe(F.col("_value"))).select("grp", "value", "node", "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = pairs.select("node", F.xxhash64("grp", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
@@ -204,7 +204,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
     hashes = by_batch(texts.select("doc_id", "text", "digest"), full, "node long, hashes binary")
     dealt = tasks.join(hashes, "node")
 
-    def compare(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: OrderedDict[tuple[int, bytes], int] = OrderedDict()
         for batch in batches:
             for node, side, raw in zip(batch.column("node").to_pylist(), batch.column("side").to_pylist(), batch.column("hashes").to_pylist(), strict=True):

@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(groups)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def fill(key, table: pa.Table) -> pa.Table:
+    def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("_row", "ascending")])
         lengths = table.column("length").to_pylist()
         sequence, offset, base = [0] * len(lengths), [0] * len(lengths), key[0].as_py() << 32
