@@ -22,6 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +42,23 @@ def place(feature: bytes) -> int:
     return xxhash.xxh3_64_intdigest(feature) & (1 << LOG_WIDTH) - 1
 
 
+def token_shape(token: bytes) -> bytes:
+    """The token with its runs of letters, capitals, digits and repeated marks collapsed."""
+    core, mark = (token[:-1], token[-1:]) if token[-1:] in (b".", b",") else (token, b"")
+    if core.isalpha() and core[-1:] != mark:  # the usual case, without regular expressions
+        if core.islower():
+            return b"a" + mark
+        if core[1:].islower():
+            return b"Aa" + mark
+    for pattern, to in _SHAPES:
+        token = pattern.sub(to, token)
+    return token
+
+
 def token_places(token: bytes) -> tuple[int, ...]:
     """Places of a token's shape, its word and the word's beginnings."""
-    shape = token[:64]
-    for pattern, to in _SHAPES:
-        shape = pattern.sub(to, shape)
     word = token.lower().strip(_EDGES)
-    return place(b"s" + shape), place(b"w" + word), *(place(b"p" + word[:n]) for n in STEMS if len(word) > n)
+    return place(b"s" + token_shape(token[:64])), place(b"w" + word), *(place(b"p" + word[:n]) for n in STEMS if len(word) > n)
 
 
 class Featurizer:
@@ -55,41 +66,36 @@ class Featurizer:
 
     def __init__(self, wanted: set[int] | None = None) -> None:
         self.wanted = wanted
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+
+    def _places(self, token: bytes) -> tuple[int, tuple[int, ...]]:
+        shape, *words = token_places(token)
+        found = shape, tuple(w for w in words if self.wanted is None or w in self.wanted)
+        if len(self.known) < _CACHE_MAX and len(token) < 48:
+            self.known[token] = found
+        return found
 
     def __call__(self, text: bytes) -> dict[int, float]:
         tokens = text.split()
         n = len(tokens)
         if not n:
             return {place(b"empty"): 1.0}
-        words: Counter[int] = Counter()
-        shapes: Counter[int] = Counter()
-        known, wanted, norm = self.known, self.wanted, 0.0
         counts = Counter(tokens)
+        words: dict[int, int] = {}
+        shapes: dict[int, int] = {}
+        known, find = self.known, self._places
         for token, times in counts.items():
-            if (at := known.get(token)) is None:
-                at = token_places(token)
-                if len(known) < _CACHE_MAX and len(token) < 48:
-                    known[token] = at
-            shapes[at[0]] += times
-            for w in at[1:]:
-                words[w] += times
-        log = math.log1p
-        out = {}
-        for w, times in words.items():
-            value = log(times)
-            norm += value * value
-            if wanted is None or w in wanted:
-                out[w] = value
-        norm = 4 / norm**0.4
-        out = {w: value * norm for w, value in out.items()}
-        for s, times in shapes.items():
-            if wanted is None or s in wanted:
-                out[s] = out.get(s, 0.0) + 2 * math.sqrt(times / n)
+            shape, at = known.get(token) or find(token)
+            shapes[shape] = shapes.get(shape, 0) + times
+            for w in at:
+                words[w] = words.get(w, 0) + times
+        scale = 3 / len(counts) ** 0.4
+        out = {w: math.log1p(times) * scale for w, times in words.items()}
         repeats = sum(map(eq, tokens, tokens[1:])) / n
-        for feature, value in ((b"repeats", 3 * math.sqrt(repeats)), (b"distinct %d %d" % (min(9, 10 * len(counts) // n), min(14, n.bit_length())), 1.0), (b"bias", 1.0)):
-            if value and (wanted is None or (p := place(feature)) in wanted):
-                p = place(feature)
+        more = [(s, 2 * math.sqrt(times / n)) for s, times in shapes.items()]
+        more += (place(b"repeats"), 3 * math.sqrt(repeats)), (place(b"distinct %d %d" % (min(9, 10 * len(counts) // n), min(14, n.bit_length()))), 1.0), (place(b"bias"), 1.0)
+        for p, value in more:
+            if value and (self.wanted is None or p in self.wanted):
                 out[p] = out.get(p, 0.0) + value
         return out
 
@@ -110,26 +116,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[dict[int, float]], grades: list[int], n_grades: int = GRADES, l2: float = 2e-4, steps: int = 300, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with a small L2 penalty, by Adam over all rows. Only features in LEAST_DOCS rows or more, whose grades differ from
-    the mean by ``least_pull`` standard errors, get a weight."""
-    y = np.asarray(grades, np.int64)
-    seen = sorted(set(grades))
+def fit(r: np.ndarray, at: np.ndarray, v: np.ndarray, grades: list[int], n_grades: int = GRADES, l2: float = 2e-4, steps: int = 300, rate: float = 0.05) -> OrdinalModel:
+    """Maximum likelihood with a small L2 penalty, by Adam over all rows. Row ``r[i]`` has the feature ``at[i]`` with value
+    ``v[i]``. Only features in LEAST_DOCS rows or more, whose grades differ from the mean by ``least_pull`` standard errors,
+    get a weight."""
+    y, n = np.asarray(grades, np.int64), len(grades)
+    seen = sorted(set(y.tolist()))
     if len(seen) < 2:
         top = seen[0] if seen else 0
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.where(np.arange(n_grades - 1) < top, -40.0, 40.0))
-    df = Counter(p for row in rows for p in row)
-    centred, pull = (y - y.mean()) / y.std(), Counter()
-    for row, g in zip(rows, centred.tolist(), strict=True):
-        for p in row:
-            pull[p] += g
-    places = np.array(sorted(p for p, n in df.items() if n >= min(LEAST_DOCS, len(rows)) and abs(pull[p]) >= least_pull(len(rows)) * math.sqrt(n)), np.int64)
+    df = np.bincount(at, minlength=1 << LOG_WIDTH)
+    pull = np.bincount(at, ((y - y.mean()) / y.std())[r], 1 << LOG_WIDTH)
+    places = np.flatnonzero((df >= min(LEAST_DOCS, n)) & (np.abs(pull) >= least_pull(n) * np.sqrt(df)))
     if not len(places):
-        places = np.array(sorted(df), np.int64)
-    index = {p: i for i, p in enumerate(places.tolist())}
-    trip = [(r, index[p], v) for r, row in enumerate(rows) for p, v in row.items() if p in index]
-    r, c, v = (np.array(x) for x in zip(*trip, strict=True))
-    w, n = np.zeros(len(places)), len(rows)
+        places = np.flatnonzero(df)
+    index = np.full(1 << LOG_WIDTH, -1, np.int32)
+    index[places] = np.arange(len(places))
+    c = index[at]
+    r, c, v = r[c >= 0], c[c >= 0], v[c >= 0].astype(float)
+    w = np.zeros(len(places))
     # thresholds start at the grades' shares; gaps stay positive as exponentials
     share = np.clip([(y <= k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     logit = np.log(share / (1 - share))
@@ -174,9 +179,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
         kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
         return pa.record_batch([batch.column(0), batch.column(2), pa.array([list(x) for x in rows], kinds[0]), pa.array([list(x.values()) for x in rows], kinds[1])], names=["doc_id", "grade", "at", "value"])
 
-    table = by_batch(rated, run, "doc_id long, grade int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    rows = [dict(zip(a, v, strict=True)) for a, v in zip(table.column("at").to_pylist(), table.column("value").to_pylist(), strict=True)]
-    return fit(rows, table.column("grade").to_pylist(), n_grades)
+    found = by_batch(rated, run, "doc_id long, grade int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    at, value = found.column("at"), found.column("value")
+    rows = np.repeat(np.arange(found.num_rows, dtype=np.int32), pc.list_value_length(at).to_numpy())
+    return fit(rows, pc.list_flatten(at).to_numpy(), pc.list_flatten(value).to_numpy(), found.column("grade").to_pylist(), n_grades)
 
 
 _FEATURES = Featurizer()
