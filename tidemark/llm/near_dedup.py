@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
 from tidemark.llm.graph import components
 from tidemark.session import cut
 
@@ -37,8 +37,7 @@ WORDS = 5
 K, INDEXED, MISS = 64, 16, 1e-7
 BLOCK = 1_000_000  # shingles in a block: 8 MB
 LISTS_FROM = 32  # groups of more blocks than this are taken list by list
-_CACHE_MAX = 400_000
-_cache: dict[bytes, int] = {}
+_CACHE_MAX = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -51,14 +50,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word. Frequent words are remembered, at most _CACHE_MAX of them."""
-    get = _cache.get
-    out = list(map(get, words))
+    known = held("word hashes", dict)
+    out = list(map(known.get, words))
     if None in out:
         for i, h in enumerate(out):
             if h is None:
                 out[i] = h = xxhash.xxh3_64_intdigest(words[i])
-                if len(_cache) < _CACHE_MAX and len(words[i]) < 64:
-                    _cache[words[i]] = h
+                if len(known) < _CACHE_MAX and len(words[i]) < 64:
+                    known[words[i]] = h
     return np.array(out, np.uint64)
 
 

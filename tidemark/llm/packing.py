@@ -10,7 +10,6 @@ Null and empty texts are one end-of-document token. Every row is packed, also re
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from bisect import bisect_right, insort
@@ -20,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
 from tidemark.session import cut
 
-CAPACITY, GROUP, CACHE_MAX = 2048, 16_384, 400_000
+CAPACITY, GROUP, CACHE_MAX = 2048, 16_384, 300_000
 END = bytes(4)  # id 0, after each document
 
 
@@ -71,17 +70,12 @@ class Ids:
             yield b"".join(found)
 
 
-@functools.lru_cache(maxsize=2)
-def _ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids, with the end id, cut at the capacity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: tuple[list, ...] = ([], [], [], [], [])
-        for doc, ids in zip(batch.column(0).to_pylist(), _ids(tokenizer)(raw_texts(batch.column(1))), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), held(("ids", tokenizer), lambda: Ids(tokenizer))(raw_texts(batch.column(1))), strict=True):
             for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for column, value in zip(columns, (doc, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
 
 LOG_WIDTH, SAMPLE, LEAST_DOCS = 20, 6000, 3
 STEMS = 4, 5  # bytes of a word's beginnings that are features, too
@@ -111,6 +111,9 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one less than grades
 
+    def key(self) -> bytes:
+        return xxhash.xxh3_128_digest(self.places.tobytes() + self.weights.tobytes() + self.thresholds.tobytes())
+
     def grades(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. G-1, one row per score."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
@@ -175,7 +178,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
     rated = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [_FEATURES(t) for t in raw_texts(batch.column(1))]
+        features = held("features", Featurizer)
+        rows = [features(t) for t in raw_texts(batch.column(1))]
         kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
         return pa.record_batch([batch.column(0), batch.column(2), pa.array([list(x) for x in rows], kinds[0]), pa.array([list(x.values()) for x in rows], kinds[1])], names=["doc_id", "grade", "at", "value"])
 
@@ -185,9 +189,6 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
     return fit(rows, pc.list_flatten(at).to_numpy(), pc.list_flatten(value).to_numpy(), found.column("grade").to_pylist(), n_grades)
 
 
-_FEATURES = Featurizer()
-
-
 class Scorer:
     def __init__(self, model: OrdinalModel) -> None:
         self.weight = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep_grade: int = KEEP_GRADE, ke
     """(doc_id, expected_grade, tail_probability, kept): kept is P(grade >= keep_grade) >= keep_tail."""
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = held(("scorer", model.key()), lambda: Scorer(model))
         for batch in batches:
             expected, tail, keep = _judge(model, scorer, raw_texts(batch.column(1)), keep_grade, keep_tail)
             yield pa.record_batch([batch.column(0), pa.array(expected), pa.array(tail), pa.array(keep)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
@@ -221,7 +222,7 @@ def select(docs: DataFrame, model: OrdinalModel, keep_grade: int = KEEP_GRADE, k
     at = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = held(("scorer", model.key()), lambda: Scorer(model))
         for batch in batches:
             yield batch.filter(pa.array(_judge(model, scorer, raw_texts(batch.column(at)), keep_grade, keep_tail)[2]))
 

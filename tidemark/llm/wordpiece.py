@@ -11,7 +11,6 @@ Nulls and texts without words have no tokens. One row per row of the input, noth
 
 from __future__ import annotations
 
-import functools
 import json
 from collections import Counter, deque
 
@@ -19,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_batch, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
 
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]")
-CACHE_MAX = 400_000
+CACHE_MAX = 300_000
 
 
 class Automaton:
@@ -80,7 +79,6 @@ class Automaton:
         return total
 
 
-@functools.lru_cache(maxsize=2)
 def load(path: str) -> Automaton:
     """Word pieces from a byte-pair vocabulary with a word-start mark: marked tokens start words, the others follow.
     Single characters may do both, so that every word made of them can be cut."""
@@ -131,16 +129,11 @@ class Counting:
         return words, tokens, unknown
 
 
-@functools.lru_cache(maxsize=2)
-def _counting(path: str) -> Counting:
-    return Counting(load(path))
-
-
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown). ``vocabulary``: path of the vocabulary file, the same on every machine."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counting = _counting(vocabulary)
+        counting = held(("counting", vocabulary), lambda: Counting(load(vocabulary)))
         rows = [counting.text(t) for t in raw_texts(batch.column(1))]
         return pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
