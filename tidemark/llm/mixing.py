@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import word_count
 from tidemark.session import cut
 
+SEGMENTS = 64  # tasks a shard's rows are sorted in
 CAP = 3.0  # no source gives more than so many times its words
 
 
@@ -122,7 +123,7 @@ def draw(docs: DataFrame, n_shards: int = 8, weights: tuple[float, ...] = (1, 2,
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every column of ``docs`` with ``_shard`` and ``_place``, each row as often as it is taken, sorted by
-    ``_place`` inside each shard. Write it with ``partitionBy("_shard")`` for shard folders."""
+    ``_place`` inside each segment of a shard. Write it with ``partitionBy("_shard")`` for shard folders."""
     columns = docs.columns
     drawn = draw(docs, **options).where("copies > 0").groupBy("doc_id", "_key").agg(F.max("copies").alias("_copies"), F.first("shards").alias("_shards"), F.first("place").alias("_seed"))
     drawn = drawn.withColumnsRenamed({"doc_id": "_id"})
@@ -130,4 +131,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = keyed.join(drawn, keyed["doc_id"].cast("long").eqNullSafe(drawn["_id"]) & (keyed["_key"] == drawn["_key"]))
     rows = rows.select(*[keyed[c] for c in columns], F.posexplode(F.slice("_shards", 1, F.col("_copies"))).alias("_pass", "_shard"), "_seed")
     rows = rows.withColumn("_place", F.xxhash64("_seed", "_pass", "_shard")).drop("_pass", "_seed")
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    # a shard is dealt to SEGMENTS tasks by the leading bits of the place, so tasks stay small when there are few shards
+    return rows.repartition(F.col("_shard"), F.floor(F.col("_place") / F.lit(float(2**64 / SEGMENTS)))).sortWithinPartitions("_shard", "_place")
