@@ -1,4 +1,299 @@
-"""The engine's own queries. One entry per operator, with the SQL that gives the same rows."""
+"""The engine's own queries, one or more for each operator, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.terms import Atom, Body, Rule, Search, Var, rule, search, variables
+from tidemark.operators.candidates import candidates
+from tidemark.operators.coverage import gaps, overlaps
+from tidemark.operators.lower import instantiate_head, lower
+from tidemark.operators.relation import MARK, Relation
+from tidemark.operators.saturate import saturate
+from tidemark.operators.sinks import Sink
+from tidemark.operators.skolem import skolemize
+from tidemark.plans.ir import antijoin, natural_join, project, scan
+from tidemark.plans.planner import plan_body
+from tidemark.sources.tables import Tables
+from tidemark.streaming.session import Deduction
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_HOP = """hop AS (SELECT DISTINCT CAST(x.l_suppkey AS BIGINT) AS a, CAST(y.l_suppkey AS BIGINT) AS b FROM lineitem x JOIN lineitem y
+  ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_orderkey < 60)"""
+_CLOSURE = f"WITH RECURSIVE {_HOP}, r(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, hop.b FROM r JOIN hop ON r.b = hop.a)"
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _holds(relation: Relation) -> DataFrame:
+    return relation.df.select(F.col(MARK).alias("holds"))
+
+
+def _body(*atoms: Atom) -> Body:
+    return Body([t for a in atoms for t in a.vars], atoms)
+
+
+@_query("SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_partkey AS BIGINT) AS p FROM lineitem WHERE l_suppkey = 7")
+def filter_const(spark, sf):
+    o, p = variables("o p")
+    return lower(scan(Atom("item", o, p, 7)), Tables(spark, sf).all("item"), spark).named()
+
+
+@_query(f"WITH {_HOP} SELECT a AS x FROM hop WHERE a = b")
+def filter_repeat(spark, sf):
+    (x,) = variables("x")
+    return lower(scan(Atom("hop", x, x)), {"hop": Tables(spark, sf).hop()}, spark).named()
+
+
+@_query("SELECT CAST(l_suppkey AS BIGINT) AS s FROM lineitem")
+def project_bag(spark, sf):
+    o, p, s = variables("o p s")
+    return lower(project(scan(Atom("item", o, p, s)), [s]), Tables(spark, sf).all("item"), spark).named()
+
+
+@_query("SELECT CAST(l_suppkey AS BIGINT) AS s, count(*) AS multiplicity FROM lineitem GROUP BY ALL")
+def sink_multiplicity(spark, sf):
+    o, p, s = variables("o p s")
+    found = lower(project(scan(Atom("item", o, p, s)), [s]), Tables(spark, sf).all("item"), spark)
+    return Sink(found.shape).attach(found).snapshot().toDF("s", "multiplicity")
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS c, CAST(n_nationkey AS BIGINT) AS n, CAST(n_regionkey AS BIGINT) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def natural_join_query(spark, sf):
+    c, n, r = variables("c n r")
+    plan = natural_join((scan(Atom("cust_nation", c, n)), scan(Atom("in_region", n, r))))
+    return lower(plan, Tables(spark, sf).all("cust_nation", "in_region"), spark).named()
+
+
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS r, CAST(n_nationkey AS BIGINT) AS n FROM region, nation")
+def cross_product(spark, sf):
+    r, n = variables("r n")
+    return lower(natural_join((scan(Atom("region", r)), scan(Atom("nation", n)))), Tables(spark, sf).all("region", "nation"), spark).named()
+
+
+@_query("""SELECT DISTINCT CAST(o_custkey AS BIGINT) AS c, CAST(l_suppkey AS BIGINT) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey""")
+def local_supplier(spark, sf):
+    c, s, n, o, p = variables("c s n o p")
+    body = Body([c, s], [Atom("placed", c, o), Atom("item", o, p, s), Atom("cust_nation", c, n), Atom("supp_nation", s, n)])
+    facts = Tables(spark, sf).all("placed", "item", "cust_nation", "supp_nation")
+    return lower(plan_body(body, {k: v.shape for k, v in facts.items()}), facts, spark).distinct().named()
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = 7)")
+def antijoin_one(spark, sf):
+    p, o = variables("p o")
+    plan = antijoin(scan(Atom("part", p)), [p], [project(scan(Atom("item", o, p, 7)), [p])])
+    return lower(plan, Tables(spark, sf).all("part", "item"), spark).named()
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey IN (7, 8))")
+def antijoin_multi(spark, sf):
+    p, o = variables("p o")
+    plan = antijoin(scan(Atom("part", p)), [p], [project(scan(Atom("item", o, p, k)), [p]) for k in (7, 8)])
+    return lower(plan, Tables(spark, sf).all("part", "item"), spark).named()
+
+
+def _transitive(into: str = "hop", start: str = "hop") -> Rule:
+    x, y, z = variables("x y z")
+    return rule(Atom(into, x, z), Atom(start, x, y), Atom(start, y, z))
+
+
+@_query(f"{_CLOSURE} SELECT a, b FROM r")
+def hop_closure(spark, sf):
+    return saturate(spark, [_transitive()], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
+
+
+@_query(f"""WITH RECURSIVE {_HOP}, both_ways AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop),
+  r(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a) SELECT a, b FROM r""")
+def hop_closure_sym(spark, sf):
+    x, y = variables("x y")
+    return saturate(spark, [_transitive(), rule(Atom("hop", y, x), Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
+
+
+@_query(f"WITH {_HOP} SELECT DISTINCT x.a, y.b FROM hop x JOIN hop y ON x.b = y.a")
+def hop_two(spark, sf):
+    return saturate(spark, [_transitive("two")], {"hop": Tables(spark, sf).hop()})["two"].named("a", "b")
+
+
+@_query(f"""WITH RECURSIVE {_HOP}, odd(a, b, k) AS (SELECT a, b, 1 FROM hop UNION SELECT o.a, hop.b, 1 - o.k FROM odd o JOIN hop ON o.b = hop.a)
+  SELECT DISTINCT a, b, CAST(k AS BIGINT) AS k FROM odd""")
+def mutual_recursion(spark, sf):
+    """Pairs joined by an odd walk (k = 1) and by an even one (k = 0): two predicates that need each other."""
+    x, y, z = variables("x y z")
+    rules = [rule(Atom("odd", x, y), Atom("hop", x, y)), rule(Atom("even", x, z), Atom("odd", x, y), Atom("hop", y, z)), rule(Atom("odd", x, z), Atom("even", x, y), Atom("hop", y, z))]
+    found = saturate(spark, rules, {"hop": Tables(spark, sf).hop()})
+    return found["odd"].named("a", "b").withColumn("k", F.lit(1).cast("long")).unionByName(found["even"].named("a", "b").withColumn("k", F.lit(0).cast("long")))
+
+
+@_query(f"WITH {_HOP} SELECT DISTINCT a AS node FROM (SELECT a FROM hop UNION ALL SELECT b FROM hop)")
+def several_heads(spark, sf):
+    x, y = variables("x y")
+    return saturate(spark, [rule([Atom("node", x), Atom("node", y), Atom("back", y, x)], Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["node"].named("node")
+
+
+@_query(f"WITH {_HOP} SELECT a AS x, b AS z FROM hop h WHERE NOT EXISTS (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b)")
+def search_exists(spark, sf):
+    x, z, y = variables("x z y")
+    s = search(_body(Atom("hop", x, z)), [Atom("hop", x, y), Atom("hop", y, z)])
+    return candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s].named()
+
+
+@_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
+def search_exists_unary(spark, sf):
+    x, y = variables("x y")
+    s = search(_body(Atom("supplier", x)), [Atom("hop", x, y)])
+    t = Tables(spark, sf)
+    return candidates(spark, [s], {"supplier": t["supplier"], "hop": t.hop()})[s].named()
+
+
+@_query("""SELECT CAST(c_custkey AS BIGINT) AS c FROM customer WHERE NOT EXISTS
+  (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority IN ('1-URGENT', '2-HIGH'))""")
+def search_disjunction(spark, sf):
+    c, o = variables("c o")
+    t = Tables(spark, sf)
+    s = search(_body(Atom("customer", c)), [Atom("placed", c, o), Atom("urgent", o)], [Atom("placed", c, o), Atom("high", o)])
+    facts = t.all("customer", "placed") | {"urgent": t.with_priority("1-URGENT"), "high": t.with_priority("2-HIGH")}
+    return candidates(spark, [s], facts)[s].named()
+
+
+@_query("""SELECT CAST(c_custkey AS BIGINT) AS c FROM customer JOIN orders ON o_custkey = c_custkey
+  WHERE c_acctbal < 0 AND o_orderpriority = '1-URGENT'""")
+def search_falsum(spark, sf):
+    c, o = variables("c o")
+    t = Tables(spark, sf)
+    s = Search(Body([c], [Atom("in_debt", c), Atom("placed", c, o), Atom("urgent", o)]))
+    facts = t.all("placed") | {"in_debt": Relation.facts(t.raw("customer").where("c_acctbal < 0").select("c_custkey")), "urgent": t.with_priority("1-URGENT")}
+    return candidates(spark, [s], facts)[s].named()
+
+
+@_query(f"{_CLOSURE} SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)")
+def saturate_then_search(spark, sf):
+    a, b = variables("a b")
+    s = search(_body(Atom("hop", a, b)), [Atom("hop", b, a)])
+    session = Deduction(spark, [_transitive()], [s])
+    session.insert("hop", Tables(spark, sf).hop().named("a", "b"))
+    session.advance(1)
+    return session.candidates()[s].named()
+
+
+@_query("""SELECT user_id, CAST(sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END) AS BIGINT) AS multiplicity FROM events
+  WHERE event_type IN ('view', 'error') GROUP BY user_id HAVING sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END) <> 0""")
+def signed_sink(spark, sf):
+    rows = Tables(spark, sf).raw("events").where("event_type IN ('view', 'error')").select("user_id", F.when(F.col("event_type") == "view", 1).otherwise(-1).alias("w"))
+    user = Relation.facts(rows, signed=True)
+    return Sink(1).attach(user).snapshot().toDF("user_id", "multiplicity")
+
+
+@_query("SELECT CAST(multiplicity AS BIGINT) AS multiplicity, count(*) AS users FROM (SELECT count(*) * (SELECT count(*) FROM region) AS multiplicity FROM events WHERE event_type = 'view' GROUP BY user_id) GROUP BY ALL")
+def weighted_join(spark, sf):
+    """Multiplicities multiply in a join and add up when columns are dropped."""
+    user, region = variables("user region")
+    t = Tables(spark, sf)
+    views = Relation.facts(t.raw("events").where("event_type = 'view'").select("user_id")).weighted()
+    plan = project(natural_join((scan(Atom("view", user)), scan(Atom("region", region)))), [user])
+    return lower(plan, {"view": views, "region": t["region"]}, spark).consolidated().df.groupBy(F.col("_w").alias("multiplicity")).agg(F.count(F.lit(1)).alias("users"))
+
+
+_WANTED = """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey < 10)"""
+
+
+def _supplier_space(spark, sf):
+    t = Tables(spark, sf)
+    near = t.raw("supplier").where("s_suppkey < 10")
+    nations = t.raw("nation").select(F.lit(0).cast("long").alias("choice_id"), F.concat(F.lit("nation "), F.col("n_nationkey")).alias("atom"))
+    suppliers = near.select(F.lit(1).cast("long").alias("choice_id"), F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("atom"))
+    pairs = near.select(F.col("s_suppkey").alias("region_id"), F.explode(F.array(F.concat(F.lit("supplier "), F.col("s_suppkey")), F.concat(F.lit("nation "), F.col("s_nationkey")))).alias("atom"))
+    return nations.unionByName(suppliers), pairs
+
+
+def _pair(states: DataFrame) -> DataFrame:
+    return states.select(F.element_at("state", 1).alias("nation"), F.element_at("state", 2).alias("supplier"))
+
+
+@_query(f"{_WANTED} SELECT 'nation ' || n_nationkey AS nation, 'supplier ' || k AS supplier FROM nation, s WHERE CAST(n_nationkey AS VARCHAR) <> s.n")
+def coverage_gaps(spark, sf):
+    return _pair(gaps(spark, *_supplier_space(spark, sf)))
+
+
+@_query(f"{_WANTED} SELECT 'nation ' || n AS nation, 'supplier ' || k AS supplier FROM s WHERE k = '3'")
+def coverage_overlap(spark, sf):
+    return _pair(overlaps(spark, *_supplier_space(spark, sf), ["supplier 3"]))
+
+
+@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
+def goal_nullary(spark, sf):
+    rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 1))]
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
+
+
+@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 7")
+def goal_nullary_twin(spark, sf):
+    rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 7))]
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
+
+
+@_query("SELECT CAST(1 AS BIGINT) AS holds")
+def no_antecedent(spark, sf):
+    return _holds(saturate(spark, [rule(Atom("p"))], {})["p"])
+
+
+@_query(f"WITH {_HOP} SELECT CAST(1 AS BIGINT) AS holds WHERE NOT EXISTS (SELECT 1 FROM hop WHERE a = b)")
+def empty_key_suppression(spark, sf):
+    (x,) = variables("x")
+    s = search(Body([], []), [Atom("hop", x, x)])
+    return _holds(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s])
+
+
+@_query(f"{_CLOSURE} SELECT a, b FROM r")
+def epochs_insert(spark, sf):
+    session = Deduction(spark, [_transitive()])
+    t = Tables(spark, sf)
+    session.insert("hop", t.hop(30).named("a", "b"))
+    session.advance(1)
+    session.insert("hop", t.hop(60).minus(t.hop(30)).named("a", "b"))
+    session.advance(2)
+    return session.facts("hop").named("a", "b")
+
+
+@_query(f"""WITH RECURSIVE {_HOP}, kept AS (SELECT a, b FROM hop WHERE a >= 5),
+  r(a, b) AS (SELECT a, b FROM kept UNION SELECT r.a, kept.b FROM r JOIN kept ON r.b = kept.a) SELECT a, b FROM r""")
+def epochs_remove(spark, sf):
+    session = Deduction(spark, [_transitive()])
+    hop = Tables(spark, sf).hop().stored()
+    session.insert("hop", hop.named("a", "b"))
+    session.advance(1)
+    session.remove("hop", hop.named("a", "b").where("a < 5"))
+    session.advance(2)
+    return session.facts("hop").named("a", "b")
+
+
+@_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
+def capture_bag(spark, sf):
+    x, y, z = variables("x y z")
+    return lower(plan_body(Body([x, z], [Atom("hop", x, y), Atom("hop", y, z)]), {"hop": 2}), {"hop": Tables(spark, sf).hop()}, spark).named()
+
+
+@_query(f"""WITH {_HOP}, lacking AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM hop h WHERE NOT EXISTS
+  (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b))
+  SELECT a, CAST(1000000 + k AS BIGINT) AS b FROM lacking UNION ALL SELECT CAST(1000000 + k AS BIGINT), b FROM lacking""")
+def skolem_instances(spark, sf):
+    """For each candidate a fresh supplier in between, and the two edges through it."""
+    x, z, y = variables("x z y")
+    heads = Atom("hop", x, y), Atom("hop", y, z)
+    s = search(_body(Atom("hop", x, z)), heads)
+    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s], [y], 1_000_000).stored()
+    first, second = (instantiate_head(found, h).named("a", "b") for h in heads)
+    return first.unionByName(second)
