@@ -1,0 +1,107 @@
+import itertools
+import random
+
+import pytest
+
+from tidemark.functions.terms import RuleError
+from tidemark.operators.coverage import Coverage, Reduction, gaps, overlaps
+
+
+def kb(choices=(), nogoods=(), positive=False):
+    out = Coverage(positive)
+    for c in choices:
+        out.declare_choice(c)
+    for n in nogoods:
+        out.add_nogood(n)
+    return out
+
+
+def truth(**values):
+    return sorted((k, v == "T") for k, v in values.items())
+
+
+def test_empty():
+    assert kb().gap_witness() == [] and kb().disjoint_from_nogoods([]) == []
+    assert kb(positive=True).disjoint_from_nogoods(["a"], Reduction.GREEDY) == []
+
+
+@pytest.mark.parametrize(
+    "choices, nogoods, want",
+    [
+        ((), ("x", "y"), truth(x="F", y="F")),
+        ((), ("x", "y", "x", "y"), truth(x="F", y="F")),
+        (("xy",), ("x", "y"), None),
+        (("xy", "xy"), ("x", "y"), None),
+        (("xy", "xz"), ("x",), truth(x="F", y="T", z="T")),
+        (("xy", "xz"), ("x", "yz"), None),
+        (("wx", "yz"), ("w", "y"), truth(w="F", x="T", y="F", z="T")),
+        (("",), (), None),
+        (("xy",), ("",), None),
+    ],
+)
+def test_gaps(choices, nogoods, want):
+    found = kb(choices, nogoods).gap_witness()
+    assert (found and sorted(found)) == want
+
+
+def test_positive_api():
+    k = kb(["xy", "xz"], ["x"], positive=True)
+    assert k.gap_witness() == ["y", "z"]
+    assert k.gap_witness(Reduction.GREEDY) in (["y"], ["z"])
+    assert len(k.disjoint_from_nogoods(["y", "z"], Reduction.GREEDY)) == 1
+    assert k.disjoint_from_nogoods(["y", "z"], Reduction.IN_ORDER) == ["y"]
+    assert k.disjoint_from_nogoods(["z", "y"], Reduction.IN_ORDER) == ["z"]
+    assert k.disjoint_from_nogoods(["y", "z"]) == ["y", "z"]
+    with pytest.raises(RuleError, match="overlaps"):
+        k.disjoint_from_nogoods(["x"])
+    with pytest.raises(RuleError, match="in no choice"):
+        k.add_nogood(["q"])
+    k.add_nogood(["y", "z"])
+    assert k.gap_witness() is None
+
+
+def test_two_valued_reduction_and_unknown_atoms(caplog):
+    k = kb(["xy", "xz"], ["x"])
+    assert k.gap_witness(Reduction.GREEDY) == [("x", False)]
+    with pytest.raises(RuleError, match="overlaps"):
+        k.disjoint_from_nogoods([("new", True)])
+    assert "never mentioned" in caplog.text
+    assert ("new", False) in k.gap_witness()
+    k = kb(["wx", "yz"], ["w", "y"])
+    with pytest.raises(RuleError):
+        k.disjoint_from_nogoods(["x"])
+    assert k.disjoint_from_nogoods(["x", "z"]) == [("x", True), ("z", True)]
+
+
+def brute(choices, nogoods):
+    atoms = sorted(set().union(*choices))
+    for bits in itertools.product([False, True], repeat=len(atoms)):
+        state = {a for a, b in zip(atoms, bits, strict=True) if b}
+        if all(len(state & set(c)) == 1 for c in choices):
+            yield state, any(set(n) <= state for n in nogoods)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_frames_and_search_against_truth_tables(spark, seed):
+    rng = random.Random(seed)
+    atoms = "abcdefg"
+    choices = [rng.sample(atoms, rng.randint(2, 3)) for _ in range(3)]
+    known = sorted(set().union(*choices))
+    nogoods = [rng.sample(known, rng.randint(1, 2)) for _ in range(2)]
+    k = kb(choices, nogoods, positive=True)
+    states = list(brute(choices, nogoods))
+    want = sorted(sorted(s) for s, covered in states if not covered)
+    frames = k.frames(spark)
+    assert sorted(r["state"] for r in gaps(spark, *frames).collect()) == want
+    witness = k.gap_witness()
+    assert (sorted(witness) in want) if want else witness is None
+    for given in (known[:1], known[1:3]):
+        hit = sorted(sorted(s) for s, covered in states if covered and set(given) <= s)
+        assert sorted(r["state"] for r in overlaps(spark, *frames, given).collect()) == hit
+        if hit:
+            with pytest.raises(RuleError):
+                k.disjoint_from_nogoods(given)
+        else:
+            for policy in Reduction:
+                less = k.disjoint_from_nogoods(given, policy)
+                assert set(less) <= set(given) and not any(c and set(less) <= s for s, c in states)

@@ -1,0 +1,133 @@
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import gadgets
+from tidemark.functions.terms import Atom, Body, RuleError, search, variables
+from tidemark.operators.candidates import candidates
+from tidemark.operators.lower import instantiate_heads, lower
+from tidemark.operators.relation import Relation, concat
+from tidemark.operators.sinks import Sink, sink_all, sink_instances
+from tidemark.operators.skolem import skolemize
+from tidemark.plans.ir import Unit, antijoin, join, natural_join, project, scan
+
+x, y, z = variables("x y z")
+
+
+def rows(relation_or_df):
+    df = getattr(relation_or_df, "df", relation_or_df)
+    return sorted(map(tuple, df.collect()))
+
+
+def facts(spark, arity, data, signed=False):
+    return Relation.literal(spark, arity, data, signed)
+
+
+def test_unit(spark):
+    assert rows(lower(Unit(), {}, spark)) == [(1,)]
+
+
+def test_scan_constant_and_repeat(spark):
+    data = [(i, i if i % 2 == 0 else i + 1) for i in range(1, 10)]
+    foo = {"foo": facts(spark, 2, data)}
+    assert rows(lower(scan(Atom("foo", x, x)), foo, spark)) == [(2,), (4,), (6,), (8,)]
+    assert rows(lower(scan(Atom("foo", 3, x)), foo, spark)) == [(4,)]
+    assert rows(lower(scan(Atom("foo", 1, 2)), foo, spark)) == [(1,)]
+    with pytest.raises(RuleError, match="not found"):
+        lower(scan(Atom("bar", x)), foo, spark)
+    with pytest.raises(RuleError, match="columns"):
+        lower(scan(Atom("foo", x)), foo, spark)
+
+
+def test_project_keeps_repeats_and_copies(spark):
+    foo = {"foo": facts(spark, 2, [(1, 2), (1, 3)])}
+    assert rows(lower(project(scan(Atom("foo", x, y)), [x]), foo, spark)) == [(1,), (1,)]
+    assert rows(lower(project(scan(Atom("foo", x, y)), []), foo, spark)) == [(1,), (1,)]
+
+
+FOO, BAR = [(1, 2), (3, 4), (5, 2), (6, 7)], [(2, 10), (7, 11)]
+
+
+def test_join_and_cross(spark):
+    rel = {"foo": facts(spark, 2, FOO), "bar": facts(spark, 2, BAR), "baz": facts(spark, 1, [(8,), (9,)])}
+    assert rows(lower(natural_join((scan(Atom("foo", x, y)), scan(Atom("bar", y, z)))), rel, spark)) == [(1, 2, 10), (5, 2, 10), (6, 7, 11)]
+    assert rows(lower(join((scan(Atom("foo", x, y)), scan(Atom("bar", y, z))), [y], [z, x]), rel, spark)) == [(10, 1), (10, 5), (11, 6)]
+    assert len(rows(lower(natural_join((scan(Atom("foo", x, y)), scan(Atom("baz", z)))), rel, spark))) == 8
+    assert rows(lower(natural_join((scan(Atom("foo", 1, 2)), scan(Atom("bar", 2, 10)))), rel, spark)) == [(1,)]
+    assert rows(lower(natural_join((scan(Atom("foo", x, y)), scan(Atom("foo", y, z)))), {"foo": facts(spark, 2, [(1, 2), (2, 3)])}, spark)) == [(1, 2, 3)]
+
+
+def test_weights_multiply(spark):
+    rel = {"foo": facts(spark, 2, [(1, 2, 3), (4, 5, -1)], True), "bar": facts(spark, 1, [(2, 2), (5, 7)], True)}
+    found = lower(project(natural_join((scan(Atom("foo", x, y)), scan(Atom("bar", y)))), [x]), rel, spark)
+    assert rows(found.consolidated()) == [(1, 6), (4, -7)]
+
+
+def test_antijoin(spark):
+    rel = {"foo": facts(spark, 2, FOO + [(3, 4)]), "bar": facts(spark, 1, [(1,), (5,), (5,)]), "none": facts(spark, 1, [])}
+    assert rows(lower(antijoin(scan(Atom("foo", x, y)), [x], [scan(Atom("bar", x))]), rel, spark)) == [(3, 4), (3, 4), (6, 7)]
+    assert len(rows(lower(antijoin(scan(Atom("foo", x, y)), [], []), rel, spark))) == 5
+    for name, left in (("bar", 0), ("none", 5)):
+        plan = antijoin(scan(Atom("foo", x, y)), [], [project(scan(Atom(name, z)), [])])
+        assert len(rows(lower(plan, rel, spark))) == left
+    signed = {"foo": facts(spark, 1, [(1,), (2,)]), "bar": facts(spark, 1, [(1, 1), (1, -1), (2, 2)], True)}
+    assert rows(lower(antijoin(scan(Atom("foo", x)), [x], [scan(Atom("bar", x))]), signed, spark)) == [(1,)]
+
+
+def test_heads(spark):
+    captures = Relation((x, y), facts(spark, 2, [(1, 2), (10, 10)]).df.toDF(x.column, y.column))
+    found = instantiate_heads(captures, [Atom("a", x, y), Atom("a", x, x), Atom("b", y, 7, x)])
+    assert rows(concat(found["a"]).distinct()) == [(1, 1), (1, 2), (10, 10)]
+    assert rows(found["b"][0]) == [(2, 7, 1), (10, 7, 10)]
+    with pytest.raises(RuleError, match="not captured"):
+        instantiate_heads(captures, [Atom("a", z)])
+
+
+def test_sinks(spark):
+    sink = Sink(1).attach(facts(spark, 1, [(1, 1), (2, 1), (3, 1)], True)).attach(facts(spark, 1, [(1, 1), (3, -1), (4, -1)], True))
+    assert rows(sink.snapshot()) == [(1, 2), (2, 1), (4, -1)]
+    assert rows(sink.values()) == [(1,), (2,), (4,)]
+    assert sink.snapshot(lambda df: df.count()) == 3
+    assert rows(sink.compact().snapshot()) == [(1, 2), (2, 1), (4, -1)]
+    with pytest.raises(RuleError, match="cannot take"):
+        sink.attach(facts(spark, 2, [(1, 2)]))
+    sinks = sink_all({"foo": facts(spark, 1, [(1,)]), "bar": facts(spark, 2, [(1, 2)])})
+    sink_instances({"foo": [facts(spark, 1, [(1,)]), facts(spark, 1, [(5,)])]}, sinks)
+    assert rows(sinks["foo"].snapshot()) == [(1, 2), (5, 1)]
+
+
+def test_facts_leave_nulls_out_and_widen(spark):
+    df = spark.createDataFrame([(1, 2), (None, 3)], "a int, b long")
+    assert rows(Relation.facts(df)) == [(1, 2)] and dict(Relation.facts(df).df.dtypes)["_0"] == "bigint"
+
+
+def test_candidates(spark):
+    dense = search(Body([x, z], [Atom("p", x, z)]), [Atom("p", x, y), Atom("p", y, z)])
+    some_q = search(Body([], []), [Atom("q", x)])
+    found = candidates(spark, [dense, some_q, dense], {"p": facts(spark, 2, [(2, 2), (3, 4), (4, 5)]), "q": facts(spark, 1, [])})
+    assert len(found) == 2 and rows(found[dense]) == [(3, 4), (4, 5)] and rows(found[some_q]) == [(1,)]
+    loop = search(Body([], []), [Atom("p", x, x)])
+    assert rows(candidates(spark, [loop], {"p": facts(spark, 2, [(1, 2)])})[loop]) == [(1,)]
+    assert rows(candidates(spark, [loop], {"p": facts(spark, 2, [(2, 2)])})[loop]) == []
+    false, true = search(Body([x], [Atom("p", x, y)])), search(Body([x], [Atom("p", x, y)]), [])
+    found = candidates(spark, [false, true], {"p": facts(spark, 2, [(1, 2), (1, 3)])})
+    assert rows(found[false]) == [(1,), (1,)] and rows(found[true]) == []  # captures are bags; the empty alternative holds
+    two = search(Body([x, y], [Atom("p", x, y)]), [Atom("q", x)], [Atom("r", y)])
+    found = candidates(spark, [two], {"p": facts(spark, 2, [(1, 2), (3, 4), (5, 6)]), "q": facts(spark, 1, [(1,)]), "r": facts(spark, 1, [(4,)])})
+    assert rows(found[two]) == [(5, 6)]
+
+
+def test_skolem_ids_are_dense_and_stable(spark):
+    captures = Relation((x,), facts(spark, 1, [(i % 50,) for i in range(200)]).df.toDF(x.column))
+    found = rows(skolemize(captures, [y, z], 1000))
+    assert found == [(i, 1000 + 2 * i, 1001 + 2 * i) for i in range(50)]
+
+
+def test_gadgets_against_truth_tables(spark):
+    df = spark.createDataFrame(list(itertools.product([False, True], repeat=4)), "a boolean, b boolean, c boolean, o boolean")
+    lits = [F.col(n) for n in "abc"]
+    found = df.select("*", gadgets.not_all(lits), gadgets.at_least_one(lits), gadgets.at_most_one(lits), gadgets.exactly_one(lits), gadgets.stands_for_all(F.col("o"), lits), gadgets.stands_for_either(F.col("o"), lits[0], lits[1])).collect()
+    for a, b, c, o, *got in map(tuple, found):
+        n = a + b + c
+        assert got == [n < 3, n > 0, n < 2, n == 1, o == (n == 3), o == (a or b)]

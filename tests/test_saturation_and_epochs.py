@@ -1,0 +1,181 @@
+import random
+
+import pytest
+
+from tidemark.functions.terms import Atom, Body, Rule, RuleError, Var, rule, search, variables
+from tidemark.operators.relation import Relation
+from tidemark.operators.saturate import saturate
+from tidemark.streaming.session import Deduction, Inputs
+
+x, y, z = variables("x y z")
+TRANS = rule(Atom("dr", x, z), Atom("dr", x, y), Atom("dr", y, z))
+SYM = rule(Atom("dr", y, x), Atom("dr", x, y))
+
+
+def rows(relation):
+    return sorted(map(tuple, relation.df.collect()))
+
+
+def lit(spark, arity, data):
+    return Relation.literal(spark, arity, data)
+
+
+def test_closure(spark):
+    found = saturate(spark, [TRANS, TRANS], {"dr": lit(spark, 2, [(2, 3), (3, 4), (4, 6), (5, 4)])})
+    assert rows(found["dr"]) == [(2, 3), (2, 4), (2, 6), (3, 4), (3, 6), (4, 6), (5, 4), (5, 6)]
+
+
+def test_symmetric_closure_and_pass_through(spark):
+    found = saturate(spark, [TRANS, SYM], {"dr": lit(spark, 2, [(2, 3), (3, 4), (5, 6)]), "t": lit(spark, 1, [(1,), (2,), (2,)])})
+    assert rows(found["dr"]) == sorted([(a, b) for a in (2, 3, 4) for b in (2, 3, 4)] + [(a, b) for a in (5, 6) for b in (5, 6)])
+    assert rows(found["t"]) == [(1,), (2,)]
+
+
+def test_no_antecedent_and_new_head(spark):
+    assert rows(saturate(spark, [rule(Atom("p"))], {"p": Relation.empty(spark, 0)})["p"]) == [(1,)]
+    found = saturate(spark, [rule(Atom("two", x, z), Atom("dr", x, y), Atom("dr", y, z))], {"dr": lit(spark, 2, [(2, 3), (3, 4), (5, 4)])})
+    assert rows(found["two"]) == [(2, 4)] and len(rows(found["dr"])) == 3
+
+
+def test_errors(spark):
+    dr = {"dr": lit(spark, 2, [(1, 2)])}
+    with pytest.raises(RuleError):
+        saturate(spark, [rule(Atom("dr", x, y, y), Atom("dr", x, y))], dr)
+    with pytest.raises(RuleError):
+        saturate(spark, [rule(Atom("e", x, y, y), Atom("dr", x, y)), rule(Atom("e", x, y), Atom("dr", x, y))], dr)
+    with pytest.raises(RuleError, match="as input"):
+        saturate(spark, [rule(Atom("q", x), Atom("dr", x))], dr)
+    with pytest.raises(RuleError, match="not found"):
+        saturate(spark, [rule(Atom("q", x), Atom("nope", x))], dr)
+    with pytest.raises(RuntimeError, match="no fixpoint"):
+        saturate(spark, [TRANS], {"dr": lit(spark, 2, [(i, i + 1) for i in range(8)])}, max_rounds=1)
+    with pytest.raises(RuleError, match="twice"):
+        Inputs(spark, [("foo", 3), ("foo", 3)])
+
+
+def test_many_rounds(spark):
+    step = rule(Atom("r", x, z), Atom("r", x, y), Atom("e", y, z))
+    edges = [(i, i + 1) for i in range(24)]
+    found = saturate(spark, [step], {"r": lit(spark, 2, edges[:1]), "e": lit(spark, 2, edges)})
+    assert rows(found["r"]) == [(0, i) for i in range(1, 25)]
+
+
+def test_ancestors(spark):
+    ada, berta, cecilie, cyril, david, eve = range(1, 7)
+    parents = [(berta, ada), (cyril, berta), (cecilie, berta), (david, cyril)]
+    anc = lambda a, b: Atom("ancestor", a, b)
+    rules = [
+        rule([*(Atom("dom", p) for p in range(1, 7)), *(Atom("parent", *p) for p in parents)]),
+        rule(Atom("goal"), anc(david, ada)), rule(anc(eve, x), Atom("dom", x)), rule(anc(x, y), Atom("parent", x, y)), rule(anc(x, z), anc(x, y), anc(y, z)),
+    ]
+    session = Deduction(spark, rules)
+    session.advance(1)
+    assert rows(session.facts("goal")) == [(1,)]
+    assert rows(session.sinks()[0]["goal"].attached[0]) == [(1,)]
+
+
+def test_choice_over_epochs(spark):
+    p, q, r = 1, 2, 3
+    pick = search(Body([], []), [Atom("t", p)], [Atom("t", q)], [Atom("t", r)])
+    session = Deduction(spark, [rule(Atom("goal"), Atom("t", p), Atom("t", q), Atom("t", r))], [pick])
+    session.advance(1)
+    assert rows(session.facts("goal")) == [] and rows(session.candidates()[pick]) == [(1,)]
+    session.insert("t", [(p,), (q,), (r,)])
+    session.advance(2)
+    assert rows(session.facts("goal")) == [(1,)] and rows(session.candidates()[pick]) == []
+    with pytest.raises(RuleError, match="not after"):
+        session.advance(2)
+    with pytest.raises(RuleError, match="not found"):
+        session.insert("u", [(1,)])
+
+
+def test_multiplicity_of_inputs_and_changes(spark):
+    session = Deduction(spark, shapes=[("t", 1)])
+    session.insert("t", [(1,), (2,)])
+    session.insert("t", [(1,)])
+    session.advance(1)
+    session.remove("t", [(1,), (2,)])
+    session.advance(2)
+    assert rows(session.facts("t")) == [(1,)]  # inserted twice, removed once
+    assert rows(session.changes("t")) == [(2, -1)]
+    session.insert("t", [(2,)])
+    session.advance(3)
+    assert rows(session.facts("t")) == [(1,), (2,)]
+
+
+def naive(rules, inputs):
+    facts = {p: set(r) for p, r in inputs.items()}
+    for r in rules:
+        for h in r.heads:
+            facts.setdefault(h.predicate, set())
+    while True:
+        new = set()
+        for r in rules:
+            envs = [{}]
+            for a in r.body.atoms:
+                grown = []
+                for env in envs:
+                    for f in facts[a.predicate]:
+                        e = dict(env)
+                        if all((e.setdefault(t, v) if isinstance(t, Var) else t) == v for t, v in zip(a.terms, f, strict=True)):
+                            grown.append(e)
+                envs = grown
+            new |= {(h.predicate, tuple(e.get(t, t) if isinstance(t, Var) else t for t in h.terms)) for e in envs for h in r.heads}
+        new = {(p, f) for p, f in new if f not in facts[p]}
+        if not new:
+            return facts
+        for p, f in new:
+            facts[p].add(f)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_programs_over_epochs(spark, seed):
+    """Semi-naive rounds, resumed and recomputed, against naive evaluation from scratch."""
+    rng = random.Random(seed)
+    names, vs = ["a", "b", "c"], variables("u v w")
+
+    def atom():
+        return Atom(rng.choice(names), *(rng.choice([*vs, *vs, *vs, 1]) for _ in range(2)))
+
+    rules = []
+    while len(rules) < 4:
+        body = [atom() for _ in range(rng.randint(1, 2))]
+        try:
+            rules.append(rule(atom(), *body))
+        except RuleError:
+            continue
+    shapes = [(n, 2) for n in names]
+    session = Deduction(spark, rules, shapes=shapes)
+    held = {n: {} for n in names}
+    for epoch in range(3):
+        for n in names:
+            add = [(rng.randint(0, 4), rng.randint(0, 4)) for _ in range(3)]
+            drop = rng.sample(sorted(held[n]), min(len(held[n]), 1 if epoch == 2 else 0))
+            for f in add:
+                held[n][f] = held[n].get(f, 0) + 1
+            for f in drop:
+                held[n][f] -= 1
+            session.insert(n, add)
+            if drop:
+                session.remove(n, drop)
+        session.advance(epoch)
+        want = naive(rules, {n: {f for f, k in held[n].items() if k > 0} for n in names})
+        for n in names:
+            assert rows(session.facts(n)) == sorted(want[n]), (epoch, n)
+
+
+def test_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "predicate string, args array<long>, diff long"
+    put = lambda data: spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+    put([("dr", [1, 2], 1), ("dr", [2, 3], 1), ("dr", [3, 4], 1)])
+    session, seen = Deduction(spark, [TRANS]), []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = session.stream(stream, after=lambda s, e: seen.append((e, rows(s.facts("dr")))), checkpointLocation=str(tmp_path / "check"))
+    try:
+        query.processAllAvailable()
+        put([("dr", [2, 3], -1)])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [s for _, s in seen] == [[(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)], [(1, 2), (3, 4)]]

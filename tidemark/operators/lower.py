@@ -85,5 +85,5 @@ def lower(plan: Plan, relations: Mapping[str, Relation], spark: SparkSession) ->
         taken = taken.distinct() if taken.signed else taken  # an antijoin does not mind repeated rows
         key = [v.column for v in plan.key]
         df = minuend.df.join(taken.df.select(*key), key, "left_anti") if key else minuend.df.join(taken.df.limit(1), F.lit(True), "left_anti")
-        return minuend.with_df(df)
+        return minuend.with_df(df.select(*minuend.df.columns))  # joins by name put the key first
     raise TypeError(plan)

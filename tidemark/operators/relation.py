@@ -81,7 +81,7 @@ class Relation:
 
     def minus(self, other: Relation) -> Relation:
         """Tuples of this one that are not in the other, both taken as given."""
-        return self.with_df(self.df.join(other.df.select(*other.columns), self.columns, "left_anti"))
+        return self.with_df(self.df.join(other.df.select(*other.columns), self.columns, "left_anti").select(*self.df.columns))
 
     def stored(self) -> Relation:
         return self.with_df(cut(self.df))
