@@ -1,0 +1,56 @@
+import hashlib
+import random
+import struct
+import zlib
+
+import pytest
+
+from tidemark.llm import media
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 16384, 49157, 300_001])
+def test_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    data = media.encode_media(payload)
+    found = media.parse_media(data)
+    padded = media.pad(payload)
+    assert media.read_back(data, found) == padded and len(padded) % 64 == 0 and padded[:n] == payload and len(padded) - n <= 64
+    track = found.tracks[0]
+    assert (track.codec, track.handler, track.timescale, track.duration) == ("raw ", "soun", 8000, len(padded))
+    assert (track.times == [64 * i for i in range(len(padded) // 64)]).all()
+    assert all(data[a : a + s] == padded[64 * k : 64 * k + s] for (a, s), k in zip(track.spans[track.keys], track.keys, strict=True))
+
+
+def test_foreign_tables():
+    """Sizes per sample, several chunk runs, 64-bit boxes and no sync table."""
+    f, b = media.full, media.box
+    stbl = lambda at: b(
+        b"stbl", f(b"stsd", struct.pack(">I", 1), b(b"avc1", bytes(78))), f(b"stts", struct.pack(">5I", 2, 2, 10, 1, 5)),
+        f(b"stsz", struct.pack(">5I", 0, 3, 2, 3, 4)), f(b"stsc", struct.pack(">7I", 2, 1, 2, 1, 2, 1, 1)), f(b"co64", struct.pack(">IQQ", 2, at, at + 6)),
+    )
+    moov = lambda at: b(b"moov", b(b"trak", b(b"mdia", f(b"mdhd", struct.pack(">IIIII", 0, 0, 100, 25, 0)), b(b"minf", stbl(at)))))
+    head = b(b"ftyp", b"mp42", bytes(4))
+    at = len(head) + len(moov(0)) + 16
+    data = head + moov(at) + struct.pack(">I4sQ", 1, b"mdat", 16 + 10) + b"AABBB.CCCC"
+    track = media.parse_media(data).tracks[0]
+    assert track.codec == "avc1" and track.duration == 25 and track.times.tolist() == [0, 10, 20] and track.keys.tolist() == [0, 1, 2]
+    assert [data[a : a + n] for a, n in track.spans.tolist()] == [b"AA", b"BBB", b"CCCC"]
+
+
+@pytest.mark.parametrize("bad", [b"", b"x", b"hello world, this is no film", media.encode_media(b"abc" * 99)[:400], media.encode_media(b"abc" * 99)[:-70]])
+def test_broken_files_give_a_reason(bad):
+    assert media.index_media(bad)["error"] and media.index_media(bad)["media_bytes"] == len(bad)
+
+
+def test_columns(spark, odd_docs, no_docs):
+    found = media.index(media.encode(odd_docs)).collect()
+    want = []
+    for r in odd_docs.collect():
+        raw = (r["text"] or "").encode()
+        p = media.pad(raw)
+        m = media.encode_media(raw)
+        want.append((r["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+    got = [(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in found]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and all(r["error"] is None for r in found)
+    assert media.index(media.encode(no_docs)).count() == 0
+    assert media.index(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()["error"]

@@ -1,0 +1,57 @@
+import hashlib
+import struct
+
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import multiset_hash as mh
+
+
+def brute(text: str) -> list[int]:
+    out = [0] * mh.LANES
+    for p in text.split("\n"):
+        first = xxhash.xxh64_intdigest(p.encode(), 42)
+        slot, wide = (xxhash.xxh64_intdigest(struct.pack("<i", k), first) for k in (0, 1))
+        slot -= (slot >> 63) << 64
+        at = slot % mh.SLOTS * mh.SPAN
+        out[at] = (out[at] + (wide >> 32)) % mh.MODULUS
+        out[at + 1] = (out[at + 1] + (wide & mh.MODULUS - 1)) % mh.MODULUS
+    return out
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    slots = [(a[i : i + 2], b[i : i + 2]) for i in range(0, mh.LANES, mh.SPAN)]
+    used = [x for x in slots if x[0] != [0, 0] or x[1] != [0, 0]]
+    return sum(x == y for x, y in used) / max(1, len(used))
+
+
+def test_against_brute_force(spark, odd_docs, no_docs):
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = []
+    for k, (doc, text) in enumerate(docs):
+        follows = docs[(k + 1) % len(docs)][1]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + follows[:n]
+        a, b, c = brute(text), brute(edited), brute(follows)
+        hexed = lambda v: "".join(f"{x:08x}" for x in v)
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(alike(a, b), 9), round(alike(a, c), 9)))
+    for per_bucket in (1024, 3):  # one bucket; many
+        found = mh.with_next(odd_docs, per_bucket)
+        assert sorted(str((r["doc_id"], r["text"], r["next"]["text"])) for r in found.collect()) == sorted(str((d, t, docs[(k + 1) % len(docs)][1])) for k, (d, t) in enumerate(docs))
+    got = [(r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in map(tuple, mh.fingerprint_edits(odd_docs).collect())]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert mh.fingerprint_edits(no_docs).count() == 0
+    one = mh.fingerprint_edits(odd_docs.where("doc_id = 5")).first()
+    assert one["near_next"] == 1.0
+
+
+def test_homomorphism(spark):
+    df = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nc", "b")], "abc string, cab string, ac string, b string")
+    v = {c: mh.vector(F.col(c)) for c in df.columns}
+    r = df.select(v["abc"] == v["cab"], mh.add(v["ac"], v["b"]) == v["abc"], mh.subtract(v["abc"], v["b"]) == v["ac"], v["abc"] == v["ac"]).first()
+    assert tuple(r) == (True, True, True, False)
+    groups = mh.collection(spark.createDataFrame([(1, "a"), (1, "b"), (2, "b\na"), (3, "a\nb\nb")], "g int, t string").withColumn("vector", mh.vector(F.col("t"))), ["g"])
+    found = {r["g"]: r["vector"] for r in groups.collect()}
+    assert found[1] == found[2] == brute("a\nb") and found[3] == brute("b\nb\na")

@@ -1,0 +1,72 @@
+import os
+import subprocess
+import sys
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tidemark.llm import line_dedup, mixing, near_dedup, quality
+from tidemark.llm.queries import QUERIES
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_stages_act_on_all_that_the_one_before_kept(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs
+        if name != "pack":
+            assert docs.columns == columns
+        rows = {r["doc_id"]: r for r in before.collect()}
+        after = docs.collect()
+        if name == "quality":
+            model = quality.train(before, quality.graded(spark.read.parquet(f"{sf}/labels.parquet")))
+            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in quality.score(before, model).where("kept").collect()}
+            assert 0.6 * len(rows) < len(after) < len(rows) and all(rows[r["doc_id"]] == r for r in after)
+        if name == "lines":
+            holders = {}
+            for r in rows.values():
+                for k in {line_dedup.line_key(x.encode()) for x in r["text"].split("\n")} - {None}:
+                    holders.setdefault(k, []).append(r["doc_id"])
+            gone = lambda d, x: (k := line_dedup.line_key(x.encode())) and len(holders[k]) >= 5 and max(holders[k]) != d
+            want = {d: "\n".join(x for x in r["text"].split("\n") if not gone(d, x)) for d, r in rows.items()}
+            assert {r["doc_id"]: r["text"] for r in after} == want and all(r["n_chars"] == len(r["text"]) for r in after)
+        if name == "near":
+            sets = {}
+            for d, r in rows.items():
+                w = r["text"].encode().lower().split()
+                sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            up = {d: d for d in sets}
+            root = lambda x: x if up[x] == x else root(up[x])
+            ids = sorted(sets)
+            for k, a in enumerate(ids):
+                for b in ids[k + 1 :]:
+                    n = len(sets[a] & sets[b])
+                    if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                        ra, rb = sorted((root(a), root(b)))
+                        up[rb] = ra
+            assert {r["doc_id"] for r in after} == {d for d in ids if root(d) == d}
+        if name == "mix":
+            copies = {r["doc_id"]: r["copies"] for r in mixing.draw(before).collect()}
+            assert len(after) == sum(copies.values()) and all(rows[r["doc_id"]] == r for r in after)
+        if name == "pack":
+            assert len({(r["sequence_id"], r["offset"]) for r in after}) == len(after) and {r["doc_id"] for r in after} == set(rows)
+    assert near_dedup.WORDS == 5
+
+
+def test_run_is_registered_and_repeats(spark):
+    a, b = (sorted(map(tuple, entry.queries()["pipeline"](spark, "/root/testdata/sf0.001").drop("sequence_id").collect())) for _ in range(2))
+    assert [r[:5] for r in a] == [r[:5] for r in b]
+    assert set(QUERIES) <= set(entry.queries()) and {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in QUERIES}
+
+
+def test_the_rest_works_without_this_subpackage(tmp_path):
+    for name in ("tidemark", "__spark_entry__.py"):
+        subprocess.run(["cp", "-r", os.path.join(ROOT, name), str(tmp_path / name)], check=True)
+    subprocess.run(["rm", "-r", str(tmp_path / "tidemark/llm")], check=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'hop_closure' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

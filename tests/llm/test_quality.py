@@ -1,0 +1,63 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import quality
+from tidemark.llm.quality import Featurizer, Scorer, fit, graded, score, select, token_shape, train
+
+
+def arrays(texts):
+    rows = [Featurizer()(t.encode()) for t in texts]
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([p for r in rows for p in r]), np.array([v for r in rows for v in r.values()])
+
+
+def test_held_out_accuracy(spark):
+    """Trained on half of the rated documents, judged on the others."""
+    folder = "/root/testdata/sf0.1"
+    docs, ratings = spark.read.parquet(f"{folder}/documents.parquet"), graded(spark.read.parquet(f"{folder}/labels.parquet"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0
+    model = train(docs, ratings.where(half))
+    rows = score(docs, model).join(ratings.where(~half), "doc_id").collect()
+    share = lambda g: np.mean([r["kept"] for r in rows if r["grade"] == g])
+    assert len(rows) > 1500 and share(2) > 0.98 and share(0) < 0.03 and share(1) < 0.35
+    means = [np.mean([r["expected_grade"] for r in rows if r["grade"] == g]) for g in range(3)]
+    assert means == sorted(means) and np.all(np.diff(model.thresholds) > 0)
+
+
+def test_ordinal_fit_orders_grades():
+    texts = [w for k, word in enumerate(("bad", "fair", "fine")) for w in [f"{word} {word} filler{i % 7}" for i in range(40)]]
+    grades = [0] * 40 + [1] * 40 + [2] * 40
+    model = fit(*arrays(texts), grades)
+    scores = [Scorer(model)(f"{w} {w} filler1".encode()) for w in ("bad", "fair", "fine")]
+    tails = model.grades(np.array(scores))
+    assert scores == sorted(scores) and (tails[:, 0] > 0.5).tolist() == [False, True, True] and (tails[:, 1] > 0.5).tolist() == [False, False, True]
+
+
+@pytest.mark.parametrize("grades", [[], [2, 2, 2], [0, 0]])
+def test_one_grade_keeps_all(spark, odd_docs, grades):
+    model = fit(*arrays(["some text"] * len(grades)), grades) if grades else fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), [])
+    rows = score(odd_docs, model).collect()
+    assert len(rows) == odd_docs.count() and all(r["kept"] for r in rows)
+    assert all(abs(r["expected_grade"] - (grades[0] if grades else 0)) < 1e-6 for r in rows)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(71, 0), (999, 1)], "doc_id long, grade int")
+    model = train(odd_docs, ratings)
+    assert score(odd_docs, model).count() == odd_docs.count() and score(no_docs, model).count() == 0
+    kept = select(odd_docs, model)
+    assert kept.columns == odd_docs.columns and kept.count() == score(odd_docs, model).where("kept").count()
+    assert len(train(no_docs, ratings).places) == 0
+
+
+def test_grades_from_labels(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 0), (None, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, graded(labels).collect())) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+
+
+def test_shapes_agree_with_the_general_rule():
+    for token in (b"the", b"The", b"THE", b"the.", b"The,", b"THE!!", b"a..", b"don't", b"x,", b"A.", b"$$$", b"12ab", "é".encode(), "École.".encode()):
+        slow = token
+        for pattern, to in quality._SHAPES:
+            slow = pattern.sub(to, slow)
+        assert token_shape(token) == slow, token

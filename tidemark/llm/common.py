@@ -31,6 +31,17 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names for own use that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 _held: dict = {}
 
 

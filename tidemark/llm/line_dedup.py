@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, by_batch, id_and_text, raw_texts
+from tidemark.llm.common import BLANKS, by_batch, free_names, id_and_text, raw_texts
 from tidemark.session import cut
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -228,8 +228,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 def without_hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows and columns of ``docs`` with the remaining text; ``n_chars``, if there, is counted anew. Untouched texts,
     null ones included, stay as they are."""
-    lost = doomed(docs, hot_lines(docs, min_chars, min_docs), min_chars).withColumnsRenamed({"doc_id": "_id", "keys": "_keys"})
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["_id"]), "left").drop("_id")
+    lost = doomed(docs, hot_lines(docs, min_chars, min_docs), min_chars)
+    own, gone = free_names(docs, "_id", "_keys")
+    lost = lost.withColumnsRenamed({"doc_id": own, "keys": gone})
+    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[own]), "left")
     names = docs.columns
     at = names.index("text")
 
@@ -246,4 +248,4 @@ def without_hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 columns[names.index("n_chars")] = pc.coalesce(count, batch.column(names.index("n_chars")))
         return pa.record_batch(columns, names=names)
 
-    return by_batch(joined.select(*[docs[c] for c in names], "_keys"), run, docs.schema)
+    return by_batch(joined.select(*[docs[c] for c in names], gone), run, docs.schema)

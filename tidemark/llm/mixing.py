@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count
+from tidemark.llm.common import free_names, word_count
 from tidemark.session import cut
 
 SEGMENTS = 64  # tasks a shard's rows are sorted in
@@ -125,11 +125,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every column of ``docs`` with ``_shard`` and ``_place``, each row as often as it is taken, sorted by
     ``_place`` inside each segment of a shard. Write it with ``partitionBy("_shard")`` for shard folders."""
     columns = docs.columns
-    drawn = draw(docs, **options).where("copies > 0").groupBy("doc_id", "_key").agg(F.max("copies").alias("_copies"), F.first("shards").alias("_shards"), F.first("place").alias("_seed"))
-    drawn = drawn.withColumnsRenamed({"doc_id": "_id"})
-    keyed = docs.withColumns({"_key": F.xxhash64("text")})
-    rows = keyed.join(drawn, keyed["doc_id"].cast("long").eqNullSafe(drawn["_id"]) & (keyed["_key"] == drawn["_key"]))
-    rows = rows.select(*[keyed[c] for c in columns], F.posexplode(F.slice("_shards", 1, F.col("_copies"))).alias("_pass", "_shard"), "_seed")
-    rows = rows.withColumn("_place", F.xxhash64("_seed", "_pass", "_shard")).drop("_pass", "_seed")
+    own, key, copies, shards, seed, turn, mine = free_names(docs, "_id", "_key", "_copies", "_shards", "_seed", "_pass", "_text")
+    drawn = draw(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(own), F.col("_key").alias(key)).agg(F.max("copies").alias(copies), F.first("shards").alias(shards), F.first("place").alias(seed))
+    keyed = docs.withColumns({mine: F.xxhash64("text")})
+    rows = keyed.join(drawn, keyed["doc_id"].cast("long").eqNullSafe(drawn[own]) & (keyed[mine] == drawn[key]))
+    rows = rows.select(*[keyed[c] for c in columns], F.posexplode(F.slice(shards, 1, F.col(copies))).alias(turn, "_shard"), seed)
+    rows = rows.withColumn("_place", F.xxhash64(seed, turn, "_shard")).drop(turn, seed)
     # a shard is dealt to SEGMENTS tasks by the leading bits of the place, so tasks stay small when there are few shards
     return rows.repartition(F.col("_shard"), F.floor(F.col("_place") / F.lit(float(2**64 / SEGMENTS)))).sortWithinPartitions("_shard", "_place")

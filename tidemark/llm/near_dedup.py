@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, free_names, held, id_and_text, raw_texts
 from tidemark.llm.graph import components
 from tidemark.session import cut
 
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     # an id with several texts is one document: its classes are linked through the id
     twins = some.select("doc_id", "n_shingles", "digest").join(classes.select("n_shingles", "digest", "rep"), ["n_shingles", "digest"])
     links = class_links(docs, classes, percent, words)
-    through_id = twins.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    through_id = twins.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
     found = components(links.unionByName(through_id))
     by_class = classes.select("n_shingles", "digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "digest", F.coalesce("component", "rep").alias("component"))
     out = own.drop("filed").join(by_class, ["n_shingles", "digest"], "left")
@@ -236,5 +236,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without those that are near copies of one that stays. Of rows that repeat the
     kept id all stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

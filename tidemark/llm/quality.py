@@ -101,8 +101,8 @@ class Featurizer:
 
 
 def least_pull(rows: int) -> float:
-    """More rows hold more rare features that differ by chance."""
-    return 4.0 if rows >= 1000 else 3.0
+    """From 2.5 for up to 2000 rows to 4 for 6000 and more: more rows hold more rare features that differ by chance."""
+    return min(4.0, max(2.5, 2.5 + 1.5 * math.log(max(rows, 1) / 2000) / math.log(3)))
 
 
 @dataclass
