@@ -22,10 +22,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut(large)
+        # large star: each node's larger neighbours go to its smallest one. Nodes without a smaller neighbour, such as the
+        # centres of stars, keep theirs. The lookup is stored first, so that the join can split the rows of a hot centre.
+        lowest = cut(edges.groupBy("u").agg(F.min("v").alias("m"))).withColumnRenamed("u", "at")
+        large = cut(edges.join(lowest, F.col("v") == F.col("at"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # small star: each node's smaller neighbours go to the smallest of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where("u > v").distinct())

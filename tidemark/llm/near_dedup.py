@@ -165,7 +165,7 @@ def candidate_lists(classes: DataFrame, percent: int) -> DataFrame:
     """(value, rep, n_shingles): under which of its filed values each class is found, values with one class left out."""
     need = at_least(INDEXED, percent / 100)
     filed = classes.select("rep", "n_shingles", F.size("filed").alias("r"), F.explode("filed").alias("value"))
-    shared = filed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = cut(filed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # stored: the join can then split hot values
     met = filed.join(shared, "value").groupBy("rep", "n_shingles", "r").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))  # at most INDEXED a class
     # rarest first; the values that occur once are the very rarest and take up their part of the prefix
     prefix = F.size("met") - F.ceil(F.col("r") * (need / INDEXED)) + 1
@@ -176,7 +176,7 @@ def candidate_lists(classes: DataFrame, percent: int) -> DataFrame:
 def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """(a, b): links between class representatives, enough of them to connect all that the full sets connect."""
     lists = cut(candidate_lists(classes, percent))
-    starts = lists.groupBy("value").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    starts = cut(lists.groupBy("value").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     stars = lists.join(starts, "value").select("value", "rep", "n_shingles", "pivot")
     groups = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     members = cut(groups.join(classes.select(F.col("rep").alias("node"), "n_shingles", "digest"), "node"))
@@ -186,7 +186,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
     whole = members.join(many, "component", "left_anti").select(F.col("component").alias("grp"), F.lit(None).cast("long").alias("value"), "node", "n_shingles")
     single = members.join(many, "component", "left_semi").join(stars.select(F.col("rep").alias("node"), "value"), "node").select(F.col("component").alias("grp"), "value", "node", "n_shingles")
     placed = whole.unionByName(single)
-    weights = placed.groupBy("grp", "value").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")).withColumnsRenamed({"grp": "_grp", "value": "_value"})
+    weights = cut(placed.groupBy("grp", "value").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))).withColumnsRenamed({"grp": "_grp", "value": "_value"})
     placed = placed.join(weights, (F.col("grp") == F.col("_grp")) & F.col("value").eqNullSafe(F.col("_value"))).select("grp", "value", "node", "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
