@@ -181,7 +181,8 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
     groups = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     members = cut(groups.join(classes.select(F.col("rep").alias("node"), "n_shingles", "digest"), "node"))
     heavy = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
-    many = heavy.where(F.col("weight") > LISTS_FROM * BLOCK).select("component")
+    # at most one such group for each LISTS_FROM * BLOCK shingles of the corpus: 600,000 ids of 8 bytes for 100 TB of text
+    many = F.broadcast(heavy.where(F.col("weight") > LISTS_FROM * BLOCK).select("component"))
     # groups that fit are taken whole, the others list by list; both in blocks
     whole = members.join(many, "component", "left_anti").select(F.col("component").alias("grp"), F.lit(None).cast("long").alias("value"), "node", "n_shingles")
     single = members.join(many, "component", "left_semi").join(stars.select(F.col("rep").alias("node"), "value"), "node").select(F.col("component").alias("grp"), "value", "node", "n_shingles")
