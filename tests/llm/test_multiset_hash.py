@@ -23,8 +23,8 @@ def alike(a, b):
     if a == b:
         return 1.0
     slots = [(a[i : i + 2], b[i : i + 2]) for i in range(0, mh.LANES, mh.SPAN)]
-    used = [x for x in slots if x[0] != [0, 0] or x[1] != [0, 0]]
-    return sum(x == y for x, y in used) / max(1, len(used))
+    used = max(sum(x[k] != [0, 0] for x in slots) for k in (0, 1))
+    return sum(x == y != [0, 0] for x, y in slots) / max(1, used)
 
 
 def test_against_brute_force(spark, odd_docs, no_docs):

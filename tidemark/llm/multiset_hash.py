@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-SLOTS, SPAN, BITS = 32, 2, 32
+SLOTS, SPAN, BITS = 64, 2, 32
 LANES = SLOTS * SPAN
 MODULUS = 1 << BITS
 
@@ -64,19 +64,21 @@ def digest(vec: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots among those that hold a paragraph on either side: 1 for equal multisets, 0 if no slot agrees."""
+    """Equal slots that hold paragraphs, as a share of the side that fills more slots: 1 for equal multisets, 0 if no slot
+    agrees, and about the share of common paragraphs as long as few slots hold several."""
     slots = F.sequence(F.lit(0), F.lit(LANES - SPAN), F.lit(SPAN))
     part = lambda v, i: F.slice(v, i + 1, SPAN)
     none = F.array_repeat(F.lit(0).cast("long"), SPAN)
     counts = F.aggregate(
         slots,
-        F.struct(F.lit(0).alias("same"), F.lit(0).alias("used")),
+        F.struct(F.lit(0).alias("same"), F.lit(0).alias("left"), F.lit(0).alias("right")),
         lambda acc, i: F.struct(
             (acc["same"] + ((part(a, i) == part(b, i)) & (part(a, i) != none)).cast("int")).alias("same"),
-            (acc["used"] + ((part(a, i) != none) | (part(b, i) != none)).cast("int")).alias("used"),
+            (acc["left"] + (part(a, i) != none).cast("int")).alias("left"),
+            (acc["right"] + (part(b, i) != none).cast("int")).alias("right"),
         ),
     )
-    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.transform(F.array(counts), lambda c: c["same"] / F.greatest(c["used"], F.lit(1)))[0].cast("double"))
+    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.transform(F.array(counts), lambda c: c["same"] / F.greatest(c["left"], c["right"], F.lit(1)))[0].cast("double"))
 
 
 def collection(df: DataFrame, by: list[str], vec: str = "vector") -> DataFrame:
