@@ -1,30 +1,47 @@
 import hashlib
+import math
+import re
 import struct
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import multiset_hash as mh
 
 
+def parts(text: str) -> list[str]:
+    """Runs of at most PART_WORDS words in a line that end with a sentence, words cut at 64 characters."""
+    return re.findall(mh.PART, text)
+
+
+
+
 def brute(text: str) -> list[int]:
-    out = [0] * mh.LANES
-    for p in text.split("\n"):
-        first = xxhash.xxh64_intdigest(p.encode(), 42)
-        slot, wide = (xxhash.xxh64_intdigest(struct.pack("<i", k), first) for k in (0, 1))
-        slot -= (slot >> 63) << 64
-        at = slot % mh.SLOTS * mh.SPAN
-        out[at] = (out[at] + (wide >> 32)) % mh.MODULUS
-        out[at + 1] = (out[at + 1] + (wide & mh.MODULUS - 1)) % mh.MODULUS
-    return out
+    identity = [sum(seeded_text(p, k) for p in text.split("\n")) % mh.MODULUS for k in range(mh.IDENTITY)]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts(text)]
+    counters = []
+    for k in range(mh.SEEDS):
+        mixed = [xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)) for h in hashes]
+        counters += [sum((m >> i & 1) + ((m >> i + mh.FIELD & 1) << mh.FIELD) + ((m >> i + 2 * mh.FIELD & 1) << 2 * mh.FIELD) for m in mixed) % mh.MODULUS for i in range(mh.FIELD)]
+    return [*identity, len(hashes), *counters]
+
+
+def seeded_text(p: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(p.encode(), 42))
+
+
+def signed(v: list[int]) -> list[int]:
+    return [2 * (x >> k * mh.FIELD & (1 << mh.FIELD) - 1) - v[mh.IDENTITY] for x in v[mh.IDENTITY + 1 :] for k in range(3)]
 
 
 def alike(a, b):
     if a == b:
         return 1.0
-    slots = [(a[i : i + 2], b[i : i + 2]) for i in range(0, mh.LANES, mh.SPAN)]
-    used = max(sum(x[k] != [0, 0] for x in slots) for k in (0, 1))
-    return sum(x == y != [0, 0] for x, y in slots) / max(1, used)
+    dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+    x, y = signed(a), signed(b)
+    size = math.sqrt(dot(x, x) * dot(y, y))
+    return min(1.0, max(0.0, dot(x, y) / size)) if size else 0.0
 
 
 def test_against_brute_force(spark, odd_docs, no_docs):
@@ -35,7 +52,7 @@ def test_against_brute_force(spark, odd_docs, no_docs):
         n = len(text) // 4
         edited = text[: len(text) - n] + follows[:n]
         a, b, c = brute(text), brute(edited), brute(follows)
-        hexed = lambda v: "".join(f"{x:08x}" for x in v)
+        hexed = lambda v: "".join(f"{x:015x}" for x in v)
         want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(alike(a, b), 9), round(alike(a, c), 9)))
     for per_bucket in (1024, 3):  # one bucket; many
         found = mh.with_next(odd_docs, per_bucket)
@@ -55,3 +72,23 @@ def test_homomorphism(spark):
     groups = mh.collection(spark.createDataFrame([(1, "a"), (1, "b"), (2, "b\na"), (3, "a\nb\nb")], "g int, t string").withColumn("vector", mh.vector(F.col("t"))), ["g"])
     found = {r["g"]: r["vector"] for r in groups.collect()}
     assert found[1] == found[2] == brute("a\nb") and found[3] == brute("b\nb\na")
+    # sums of many documents leave 64 bits before they are reduced
+    many = mh.collection(spark.range(100).select(F.lit(1).alias("g"), mh.vector(F.lit("a long line")).alias("vector")), ["g"]).first()["vector"]
+    assert many == [100 * x % mh.MODULUS for x in brute("a long line")]
+
+
+def test_blanks_count_for_equality_only(spark):
+    a, b = (mh.vector(F.lit(t)) for t in ("one two  three. four", "one two  three.  four"))
+    r = spark.range(1).select(a == b, mh.likeness(a, b), mh.likeness(mh.vector(F.lit("")), mh.vector(F.lit(" ")))).first()
+    assert tuple(r) == (False, pytest.approx(1.0), 0.0)
+
+
+@pytest.mark.parametrize("lines", [2, 40, 4000])
+def test_likeness_is_the_cosine_at_any_length(spark, lines):
+    line = lambda tag, i: " ".join(f"{tag}{i}x{k}" for k in range(3))
+    left = [line("l", i) for i in range(lines)]
+    right = left[: lines // 2] + [line("r", i) for i in range(lines - lines // 2)]
+    df = spark.createDataFrame([("\n".join(left), "\n".join(right), "\n".join(line("z", i) for i in range(lines)))], "a string, b string, c string")
+    v = {c: mh.vector(F.col(c)) for c in df.columns}
+    near, far = df.select(mh.likeness(v["a"], v["b"]), mh.likeness(v["a"], v["c"])).first()
+    assert abs(near - 0.5) < 0.2 and far < 0.3

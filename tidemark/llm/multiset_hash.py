@@ -1,13 +1,19 @@
 """Homomorphic multiset fingerprints of documents, with DataFrame functions only.
 
-A text's paragraphs (its lines) are a multiset. Each paragraph is hashed to a wide vector of LANES lanes that is zero
-outside the SPAN lanes of the paragraph's slot; a fingerprint is the sum of the vectors, lane by lane, modulo 2**BITS.
-So the order of paragraphs does not matter, and paragraphs or whole documents are inserted and deleted by adding and
-subtracting vectors. Two multisets that differ get equal fingerprints with a probability of about 2**-(SPAN * BITS).
-Since each slot sums its own paragraphs, the share of equal slots tells how alike two documents are.
+A text's paragraphs (its lines) are a multiset. Each paragraph is hashed to a wide vector, and a fingerprint is the sum of
+the vectors, lane by lane, modulo 2**BITS. So the order of paragraphs does not matter, and paragraphs or whole documents
+are inserted and deleted by adding and subtracting vectors. A paragraph's vector has
 
-Nulls: a null text is the empty text, which is one empty paragraph. Repeated rows get the same fingerprint. Only the id
-and the text are read, so extra columns cannot clash."""
+* IDENTITY lanes hashed from the whole paragraph: multisets that differ agree in them with about 2**-(IDENTITY * BITS);
+* one lane that counts the paragraph's parts, runs of at most PART_WORDS words that end with a sentence;
+* SEEDS * FIELD lanes of three counters of FIELD bits each. A counter tells for how many parts one bit of a hash is set.
+
+Twice a counter less the number of parts is a random signed sum over the parts. The cosine of two documents' signed sums
+estimates the cosine of their parts' counts, with an error of about 1 / sqrt(3 * FIELD * SEEDS), whatever their lengths.
+Counters of one document are exact for up to 2**FIELD parts; beyond that only likeness loses meaning, equality does not.
+
+Nulls: a null text is the empty text, which is one empty paragraph without parts. Repeated rows get the same fingerprint.
+Only the id and the text are read, so extra columns cannot clash."""
 
 from __future__ import annotations
 
@@ -16,46 +22,64 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-SLOTS, SPAN, BITS = 64, 2, 32
-LANES = SLOTS * SPAN
+IDENTITY, SEEDS, FIELD, BITS = 2, 3, 20, 60
+LANES = IDENTITY + 1 + SEEDS * FIELD
 MODULUS = 1 << BITS
+PART_WORDS = 3
+#: Words do not cross lines; a word of more than 64 characters counts as several.
+PART = rf"(?:[^ \n]{{0,63}}[^ \n.!?] +){{0,{PART_WORDS - 1}}}[^ \n]{{1,64}}"
+_COUNTERS = 1 | 1 << FIELD | 1 << 2 * FIELD
+ROWS_A_TASK, MOST_TASKS = 32_768, 100_000
 
 
 def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _add_paragraph(vector: Column, paragraph: Column) -> Column:
-    """vector + hash vector of one paragraph. Slot and lanes come from two hashes of the paragraph with different seeds."""
-    at = F.pmod(F.xxhash64(paragraph, F.lit(0)), F.lit(SLOTS)) * SPAN
-    wide = F.xxhash64(paragraph, F.lit(1))
-    lanes = (F.shiftrightunsigned(wide, BITS), wide.bitwiseAND(F.lit(MODULUS - 1)))
-    one = F.struct(at.alias("at"), *[x.alias(f"l{i}") for i, x in enumerate(lanes)])
-    # the struct is bound once, as an array of one, so that hashes are not taken anew for each lane
-    return F.aggregate(F.array(one), vector, lambda v, p: F.transform(v, lambda x, i: F.when(i == p["at"], x + p["l0"]).when(i == p["at"] + 1, x + p["l1"]).otherwise(x)))
+def parts(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PART), F.lit(0))
+
+
+def _modulo(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(MODULUS - 1))
+
+
+def _identity(lines: Column, seed: int) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: _modulo(total + _modulo(F.xxhash64(line, F.lit(seed)))))
+
 
+def _counters(hashes: Column, seed: int) -> Column:
+    """FIELD lanes; lane i holds the bits i, i + FIELD and i + 2 * FIELD of each hash."""
+    seeded = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed)))
+    zero = F.array_repeat(F.lit(0).cast("long"), FIELD)
+    return F.aggregate(seeded, zero, lambda v, h: F.transform(v, lambda x, i: _modulo(x + _bits(h, i))))
 
-def _zero() -> Column:
-    return F.array_repeat(F.lit(0).cast("long"), LANES)
 
+def _bits(h: Column, i: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(_COUNTERS))
 
-def _reduce(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.pmod(x, F.lit(MODULUS)))
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with ``value`` computed once however often it is used: bound as the element of an array."""
+    return F.transform(F.array(value), use)[0]
 
 
 def vector(text: Column) -> Column:
-    """The fingerprint of a text as array<bigint> of LANES lanes. Sums stay below 2**63 for up to 2**31 paragraphs."""
-    return F.aggregate(paragraphs(text), _zero(), _add_paragraph, _reduce)
+    """The fingerprint of a text as array<bigint> of LANES lanes."""
+    identity = _bound(paragraphs(text), lambda lines: F.array(*[_identity(lines, k) for k in range(IDENTITY)]))
+    hashes = F.transform(parts(text), lambda p: F.xxhash64(p))
+    sketch = _bound(hashes, lambda h: F.concat(F.array(F.size(h).cast("long")), *[_counters(h, k) for k in range(SEEDS)]))
+    return F.concat(identity, sketch)
 
 
 def add(a: Column, b: Column) -> Column:
     """Fingerprint of the union of two multisets."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x + y, F.lit(MODULUS)))
+    return F.zip_with(a, b, lambda x, y: _modulo(x + y))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Fingerprint after the second multiset is deleted from the first."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x - y, F.lit(MODULUS)))
+    return F.zip_with(a, b, lambda x, y: _modulo(x - y))
 
 
 def digest(vec: Column) -> Column:
@@ -63,27 +87,28 @@ def digest(vec: Column) -> Column:
     return F.lower(F.array_join(F.transform(vec, lambda x: F.lpad(F.hex(x), BITS // 4, "0")), ""))
 
 
+def signed_sums(vec: Column) -> Column:
+    """The random signed sums over the parts, array<double>."""
+    count = vec[IDENTITY]
+    field = lambda x, k: (2 * F.shiftright(x, k * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)) - count).cast("double")
+    return F.flatten(F.transform(F.slice(vec, IDENTITY + 2, SEEDS * FIELD), lambda x: F.array(*[field(x, k) for k in range(3)])))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Equal slots that hold paragraphs, as a share of the side that fills more slots: 1 for equal multisets, 0 if no slot
-    agrees, and about the share of common paragraphs as long as few slots hold several."""
-    slots = F.sequence(F.lit(0), F.lit(LANES - SPAN), F.lit(SPAN))
-    part = lambda v, i: F.slice(v, i + 1, SPAN)
-    none = F.array_repeat(F.lit(0).cast("long"), SPAN)
-    counts = F.aggregate(
-        slots,
-        F.struct(F.lit(0).alias("same"), F.lit(0).alias("left"), F.lit(0).alias("right")),
-        lambda acc, i: F.struct(
-            (acc["same"] + ((part(a, i) == part(b, i)) & (part(a, i) != none)).cast("int")).alias("same"),
-            (acc["left"] + (part(a, i) != none).cast("int")).alias("left"),
-            (acc["right"] + (part(b, i) != none).cast("int")).alias("right"),
-        ),
-    )
-    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.transform(F.array(counts), lambda c: c["same"] / F.greatest(c["left"], c["right"], F.lit(1)))[0].cast("double"))
+    """1 for equal fingerprints, else the estimated cosine of the parts' counts, from 0 to 1; 0 if a side has no parts or is null."""
+    sums = F.struct(signed_sums(a).alias("a"), signed_sums(b).alias("b"))
+    size = lambda s: F.sqrt(_dot(s["a"], s["a"]) * _dot(s["b"], s["b"]))
+    cosine = _bound(F.struct(_bound(sums, lambda s: _dot(s["a"], s["b"])).alias("ab"), _bound(sums, size).alias("size")), lambda c: F.when(c["size"] > 0, c["ab"] / c["size"]).otherwise(0.0))
+    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
 def collection(df: DataFrame, by: list[str], vec: str = "vector") -> DataFrame:
     """One fingerprint for all documents of each group: sums lane by lane, combined before the shuffle, so hot groups are cheap."""
-    lanes = [F.pmod(F.sum(F.col(vec)[i]), F.lit(MODULUS)).alias(f"_{i}") for i in range(LANES)]
+    lanes = [F.pmod(F.sum(F.col(vec)[i].cast("decimal(20,0)")), F.lit(MODULUS).cast("decimal(20,0)")).cast("long").alias(f"_{i}") for i in range(LANES)]
     return df.groupBy(*by).agg(*lanes).select(*by, F.array(*[F.col(f"_{i}") for i in range(LANES)]).alias(vec))
 
 
@@ -116,7 +141,8 @@ def with_next(docs: DataFrame, per_bucket: int = 1024) -> DataFrame:
     guests = heads.join(before, "bucket").crossJoin(F.broadcast(last)).select(
         F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.coalesce("before", "wrap").alias("bucket"), F.lit(True).alias("guest")
     )
-    everyone = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition("bucket")
+    tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_A_TASK))
+    everyone = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition(tasks, "bucket")
     ordered = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     return everyone.withColumn("vector", vector(F.col("text"))).withColumn("next", F.lead(F.struct("text", "vector")).over(ordered)).where(~F.col("guest"))
 
