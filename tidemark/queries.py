@@ -25,6 +25,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 _HOP = """hop AS (SELECT DISTINCT CAST(x.l_suppkey AS BIGINT) AS a, CAST(y.l_suppkey AS BIGINT) AS b FROM lineitem x JOIN lineitem y
   ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_orderkey < 60)"""
+_HOP_WHOLE = """hop AS (SELECT DISTINCT CAST(x.l_suppkey AS BIGINT) AS a, CAST(y.l_suppkey AS BIGINT) AS b FROM lineitem x JOIN lineitem y
+  ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"""
 _CLOSURE = f"WITH RECURSIVE {_HOP}, r(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, hop.b FROM r JOIN hop ON r.b = hop.a)"
 
 
@@ -37,6 +39,21 @@ def _query(sql: str):
     return register
 
 
+def _hop_query(sql: str):
+    """Registers the query over the orders that its SQL names, and as ``..._whole`` over all of lineitem."""
+
+    def register(f):
+        def whole(spark: SparkSession, sf: str) -> DataFrame:
+            return f(spark, sf, None)
+
+        whole.__name__ = f"{f.__name__}_whole"
+        _query(sql)(f)
+        _query(sql.replace(_HOP, _HOP_WHOLE))(whole)
+        return f
+
+    return register
+
+
 def _holds(relation: Relation) -> DataFrame:
     return relation.df.select(F.col(MARK).alias("holds"))
 
@@ -51,10 +68,10 @@ def filter_const(spark, sf):
     return lower(scan(Atom("item", o, p, 7)), Tables(spark, sf).all("item"), spark).named()
 
 
-@_query(f"WITH {_HOP} SELECT a AS x FROM hop WHERE a = b")
-def filter_repeat(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT a AS x FROM hop WHERE a = b")
+def filter_repeat(spark, sf, below=60):
     (x,) = variables("x")
-    return lower(scan(Atom("hop", x, x)), {"hop": Tables(spark, sf).hop()}, spark).named()
+    return lower(scan(Atom("hop", x, x)), {"hop": Tables(spark, sf).hop(below)}, spark).named()
 
 
 @_query("SELECT CAST(l_suppkey AS BIGINT) AS s FROM lineitem")
@@ -111,52 +128,52 @@ def _transitive(into: str = "hop", start: str = "hop") -> Rule:
     return rule(Atom(into, x, z), Atom(start, x, y), Atom(start, y, z))
 
 
-@_query(f"{_CLOSURE} SELECT a, b FROM r")
-def hop_closure(spark, sf):
-    return saturate(spark, [_transitive()], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
+@_hop_query(f"{_CLOSURE} SELECT a, b FROM r")
+def hop_closure(spark, sf, below=60):
+    return saturate(spark, [_transitive()], {"hop": Tables(spark, sf).hop(below)})["hop"].named("a", "b")
 
 
-@_query(f"""WITH RECURSIVE {_HOP}, both_ways AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop),
+@_hop_query(f"""WITH RECURSIVE {_HOP}, both_ways AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop),
   r(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a) SELECT a, b FROM r""")
-def hop_closure_sym(spark, sf):
+def hop_closure_sym(spark, sf, below=60):
     x, y = variables("x y")
-    return saturate(spark, [_transitive(), rule(Atom("hop", y, x), Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
+    return saturate(spark, [_transitive(), rule(Atom("hop", y, x), Atom("hop", x, y))], {"hop": Tables(spark, sf).hop(below)})["hop"].named("a", "b")
 
 
-@_query(f"WITH {_HOP} SELECT DISTINCT x.a, y.b FROM hop x JOIN hop y ON x.b = y.a")
-def hop_two(spark, sf):
-    return saturate(spark, [_transitive("two")], {"hop": Tables(spark, sf).hop()})["two"].named("a", "b")
+@_hop_query(f"WITH {_HOP} SELECT DISTINCT x.a, y.b FROM hop x JOIN hop y ON x.b = y.a")
+def hop_two(spark, sf, below=60):
+    return saturate(spark, [_transitive("two")], {"hop": Tables(spark, sf).hop(below)})["two"].named("a", "b")
 
 
-@_query(f"""WITH RECURSIVE {_HOP}, odd(a, b, k) AS (SELECT a, b, 1 FROM hop UNION SELECT o.a, hop.b, 1 - o.k FROM odd o JOIN hop ON o.b = hop.a)
+@_hop_query(f"""WITH RECURSIVE {_HOP}, odd(a, b, k) AS (SELECT a, b, 1 FROM hop UNION SELECT o.a, hop.b, 1 - o.k FROM odd o JOIN hop ON o.b = hop.a)
   SELECT DISTINCT a, b, CAST(k AS BIGINT) AS k FROM odd""")
-def mutual_recursion(spark, sf):
+def mutual_recursion(spark, sf, below=60):
     """Pairs joined by an odd walk (k = 1) and by an even one (k = 0): two predicates that need each other."""
     x, y, z = variables("x y z")
     rules = [rule(Atom("odd", x, y), Atom("hop", x, y)), rule(Atom("even", x, z), Atom("odd", x, y), Atom("hop", y, z)), rule(Atom("odd", x, z), Atom("even", x, y), Atom("hop", y, z))]
-    found = saturate(spark, rules, {"hop": Tables(spark, sf).hop()})
+    found = saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})
     return found["odd"].named("a", "b").withColumn("k", F.lit(1).cast("long")).unionByName(found["even"].named("a", "b").withColumn("k", F.lit(0).cast("long")))
 
 
-@_query(f"WITH {_HOP} SELECT DISTINCT a AS node FROM (SELECT a FROM hop UNION ALL SELECT b FROM hop)")
-def several_heads(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT DISTINCT a AS node FROM (SELECT a FROM hop UNION ALL SELECT b FROM hop)")
+def several_heads(spark, sf, below=60):
     x, y = variables("x y")
-    return saturate(spark, [rule([Atom("node", x), Atom("node", y), Atom("back", y, x)], Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["node"].named("node")
+    return saturate(spark, [rule([Atom("node", x), Atom("node", y), Atom("back", y, x)], Atom("hop", x, y))], {"hop": Tables(spark, sf).hop(below)})["node"].named("node")
 
 
-@_query(f"WITH {_HOP} SELECT a AS x, b AS z FROM hop h WHERE NOT EXISTS (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b)")
-def search_exists(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT a AS x, b AS z FROM hop h WHERE NOT EXISTS (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b)")
+def search_exists(spark, sf, below=60):
     x, z, y = variables("x z y")
     s = search(_body(Atom("hop", x, z)), [Atom("hop", x, y), Atom("hop", y, z)])
-    return candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s].named()
+    return candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s].named()
 
 
-@_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
-def search_exists_unary(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
+def search_exists_unary(spark, sf, below=60):
     x, y = variables("x y")
     s = search(_body(Atom("supplier", x)), [Atom("hop", x, y)])
     t = Tables(spark, sf)
-    return candidates(spark, [s], {"supplier": t["supplier"], "hop": t.hop()})[s].named()
+    return candidates(spark, [s], {"supplier": t["supplier"], "hop": t.hop(below)})[s].named()
 
 
 @_query("""SELECT CAST(c_custkey AS BIGINT) AS c FROM customer WHERE NOT EXISTS
@@ -179,12 +196,12 @@ def search_falsum(spark, sf):
     return candidates(spark, [s], facts)[s].named()
 
 
-@_query(f"{_CLOSURE} SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)")
-def saturate_then_search(spark, sf):
+@_hop_query(f"{_CLOSURE} SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)")
+def saturate_then_search(spark, sf, below=60):
     a, b = variables("a b")
     s = search(_body(Atom("hop", a, b)), [Atom("hop", b, a)])
     session = Deduction(spark, [_transitive()], [s])
-    session.insert("hop", Tables(spark, sf).hop().named("a", "b"))
+    session.insert("hop", Tables(spark, sf).hop(below).named("a", "b"))
     session.advance(1)
     return session.candidates()[s].named()
 
@@ -233,16 +250,16 @@ def coverage_overlap(spark, sf):
     return _pair(overlaps(spark, *_supplier_space(spark, sf), ["supplier 3"]))
 
 
-@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
-def goal_nullary(spark, sf):
+@_hop_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
+def goal_nullary(spark, sf, below=60):
     rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 1))]
-    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})["goal"])
 
 
-@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 7")
-def goal_nullary_twin(spark, sf):
+@_hop_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 7")
+def goal_nullary_twin(spark, sf, below=60):
     rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 7))]
-    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})["goal"])
 
 
 @_query("SELECT CAST(1 AS BIGINT) AS holds")
@@ -250,29 +267,30 @@ def no_antecedent(spark, sf):
     return _holds(saturate(spark, [rule(Atom("p"))], {})["p"])
 
 
-@_query(f"WITH {_HOP} SELECT CAST(1 AS BIGINT) AS holds WHERE NOT EXISTS (SELECT 1 FROM hop WHERE a = b)")
-def empty_key_suppression(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT CAST(1 AS BIGINT) AS holds WHERE NOT EXISTS (SELECT 1 FROM hop WHERE a = b)")
+def empty_key_suppression(spark, sf, below=60):
     (x,) = variables("x")
     s = search(Body([], []), [Atom("hop", x, x)])
-    return _holds(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s])
+    return _holds(candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s])
 
 
-@_query(f"{_CLOSURE} SELECT a, b FROM r")
-def epochs_insert(spark, sf):
+@_hop_query(f"{_CLOSURE} SELECT a, b FROM r")
+def epochs_insert(spark, sf, below=60):
     session = Deduction(spark, [_transitive()])
     t = Tables(spark, sf)
-    session.insert("hop", t.hop(30).named("a", "b"))
+    half = below // 2 if below else (t.raw("lineitem").agg(F.max("l_orderkey")).first()[0] or 0) // 2
+    session.insert("hop", t.hop(half).named("a", "b"))
     session.advance(1)
-    session.insert("hop", t.hop(60).minus(t.hop(30)).named("a", "b"))
+    session.insert("hop", t.hop(below).minus(t.hop(half)).named("a", "b"))
     session.advance(2)
     return session.facts("hop").named("a", "b")
 
 
-@_query(f"""WITH RECURSIVE {_HOP}, kept AS (SELECT a, b FROM hop WHERE a >= 5),
+@_hop_query(f"""WITH RECURSIVE {_HOP}, kept AS (SELECT a, b FROM hop WHERE a >= 5),
   r(a, b) AS (SELECT a, b FROM kept UNION SELECT r.a, kept.b FROM r JOIN kept ON r.b = kept.a) SELECT a, b FROM r""")
-def epochs_remove(spark, sf):
+def epochs_remove(spark, sf, below=60):
     session = Deduction(spark, [_transitive()])
-    hop = Tables(spark, sf).hop().stored()
+    hop = Tables(spark, sf).hop(below).stored()
     session.insert("hop", hop.named("a", "b"))
     session.advance(1)
     session.remove("hop", hop.named("a", "b").where("a < 5"))
@@ -280,20 +298,20 @@ def epochs_remove(spark, sf):
     return session.facts("hop").named("a", "b")
 
 
-@_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
-def capture_bag(spark, sf):
+@_hop_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
+def capture_bag(spark, sf, below=60):
     x, y, z = variables("x y z")
-    return lower(plan_body(Body([x, z], [Atom("hop", x, y), Atom("hop", y, z)]), {"hop": 2}), {"hop": Tables(spark, sf).hop()}, spark).named()
+    return lower(plan_body(Body([x, z], [Atom("hop", x, y), Atom("hop", y, z)]), {"hop": 2}), {"hop": Tables(spark, sf).hop(below)}, spark).named()
 
 
-@_query(f"""WITH {_HOP}, lacking AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM hop h WHERE NOT EXISTS
+@_hop_query(f"""WITH {_HOP}, lacking AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM hop h WHERE NOT EXISTS
   (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b))
   SELECT a, CAST(1000000 + k AS BIGINT) AS b FROM lacking UNION ALL SELECT CAST(1000000 + k AS BIGINT), b FROM lacking""")
-def skolem_instances(spark, sf):
+def skolem_instances(spark, sf, below=60):
     """For each candidate a fresh supplier in between, and the two edges through it."""
     x, z, y = variables("x z y")
     heads = Atom("hop", x, y), Atom("hop", y, z)
     s = search(_body(Atom("hop", x, z)), heads)
-    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s], [y], 1_000_000).stored()
+    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s], [y], 1_000_000).stored()
     first, second = (instantiate_head(found, h).named("a", "b") for h in heads)
     return first.unionByName(second)
