@@ -40,3 +40,10 @@ def test_closure_of_all_orders(spark, far):
     assert {tuple(r) for r in QUERIES["epochs_insert_whole"](spark, far[0]).collect()} == want
     assert {r["x"] for r in QUERIES["filter_repeat_whole"](spark, far[0]).collect()} == {27}
     assert QUERIES["hop_closure"](spark, far[0]).count() == 0  # its SQL keeps the first orders only
+
+
+def test_gaps_and_overlaps_of_all_suppliers(spark, far):
+    gaps = {tuple(r) for r in QUERIES["coverage_gaps_whole"](spark, far[0]).collect()}
+    assert gaps == {(f"nation {n}", f"supplier {k}") for n in range(3) for k in range(3, 33) if n != k % 3}
+    assert [tuple(r) for r in QUERIES["coverage_overlap_whole"](spark, far[0]).collect()] == [("nation 0", "supplier 3")]
+    assert QUERIES["coverage_gaps"](spark, far[0]).count() == 7 * 2  # its SQL keeps the first suppliers only

@@ -227,9 +227,13 @@ def weighted_join(spark, sf):
 _WANTED = """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey < 10)"""
 
 
-def _supplier_space(spark, sf):
+_ALL = _WANTED.removesuffix(" WHERE s_suppkey < 10)") + ")"
+
+
+def _supplier_space(spark, sf, below=10):
     t = Tables(spark, sf)
-    near = t.raw("supplier").where("s_suppkey < 10")
+    near = t.raw("supplier")
+    near = near if below is None else near.where(F.col("s_suppkey") < below)
     nations = t.raw("nation").select(F.lit(0).cast("long").alias("choice_id"), F.concat(F.lit("nation "), F.col("n_nationkey")).alias("atom"))
     suppliers = near.select(F.lit(1).cast("long").alias("choice_id"), F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("atom"))
     pairs = near.select(F.col("s_suppkey").alias("region_id"), F.explode(F.array(F.concat(F.lit("supplier "), F.col("s_suppkey")), F.concat(F.lit("nation "), F.col("s_nationkey")))).alias("atom"))
@@ -250,6 +254,16 @@ def coverage_overlap(spark, sf):
     return _pair(overlaps(spark, *_supplier_space(spark, sf), ["supplier 3"]))
 
 
+@_query(f"{_ALL} SELECT 'nation ' || n_nationkey AS nation, 'supplier ' || k AS supplier FROM nation, s WHERE CAST(n_nationkey AS VARCHAR) <> s.n")
+def coverage_gaps_whole(spark, sf):
+    return _pair(gaps(spark, *_supplier_space(spark, sf, None)))
+
+
+@_query(f"{_ALL} SELECT 'nation ' || n AS nation, 'supplier ' || k AS supplier FROM s WHERE k = '3'")
+def coverage_overlap_whole(spark, sf):
+    return _pair(overlaps(spark, *_supplier_space(spark, sf, None), ["supplier 3"]))
+
+
 @_hop_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
 def goal_nullary(spark, sf, below=60):
     rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 1))]
