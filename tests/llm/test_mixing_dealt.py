@@ -1,0 +1,29 @@
+"""What op5_mixing says of each copy is what the mixed rows have: shard, place and order."""
+
+from collections import defaultdict
+
+from tidemark.llm import mixing
+from tidemark.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_op5_has_the_shards_and_order_of_the_mixed_rows(spark):
+    rows = QUERIES["op5_mixing"](spark, SF).collect()
+    said, sizes = set(), defaultdict(int)
+    for r in rows:
+        assert len(r["shards"]) == len(r["places"]) == len(r["ranks"]) == r["copies"] and r["taken"] == r["copies"] * r["size"]
+        said |= {(r["doc_id"], s, p, k) for s, p, k in zip(r["shards"], r["places"], r["ranks"], strict=True)}
+    mixed, segments = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect(), defaultdict(list)
+    for r in mixed:
+        segments[r["_shard"], r["_place"] // (2**64 // mixing.SEGMENTS)].append((r["_place"], r["doc_id"]))
+        sizes[r["_shard"]] += 1
+    want = {(doc, s, p, k) for (s, _), found in segments.items() for k, (p, doc) in enumerate(sorted(found))}
+    assert said == want and len(mixed) == sum(r["copies"] for r in rows) and len(sizes) == 8
+
+
+def test_repeated_and_odd_rows(spark, odd_docs, no_docs):
+    drawn = mixing.draw(odd_docs, n_shards=3)
+    rows = mixing.dealt(drawn).collect()
+    assert len(rows) == drawn.count() and all(len(r["shards"]) == r["copies"] == len(set(zip(r["shards"], r["places"], r["ranks"], strict=True))) for r in rows)
+    assert {s for r in rows for s in r["shards"]} <= {0, 1, 2} and mixing.dealt(mixing.draw(no_docs)).count() == 0

@@ -76,7 +76,7 @@ def _source_key():
 
 
 def draw(docs: DataFrame, n_shards: int = 8, weights: tuple[float, ...] = (1, 2, 3), cap: float = CAP, seed: int = 0, max_sources: int = 100_000) -> DataFrame:
-    """(doc_id, _key, size, source_size, target, copies, first_shard, extra_shard, place): how often each document is taken, and where to.
+    """(doc_id, _key, size, source_size, target, copies, shards, place): how often each document is taken, and where to.
 
     ``_key`` tells rows with the same id apart by their texts. ``max_sources`` bounds what the driver holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), _source_key().alias("source"), word_count().alias("size"))
@@ -121,6 +121,29 @@ def draw(docs: DataFrame, n_shards: int = 8, weights: tuple[float, ...] = (1, 2,
     )
 
 
+def _segment(shard: str, place: str) -> list:
+    """A shard is dealt to SEGMENTS tasks by the leading bits of the place, so tasks stay small when there are few shards."""
+    return [F.col(shard), F.floor(F.col(place) / F.lit(float(2**64 / SEGMENTS)))]
+
+
+def _place(seed: str, turn: str, shard: str):
+    """Where a copy lies in its shard: rows are in the order of this hash."""
+    return F.xxhash64(seed, turn, shard)
+
+
+def dealt(drawn: DataFrame) -> DataFrame:
+    """The rows of ``draw`` with (shards, places, ranks) of their copies: the shard and the place of each, as ``mix`` has them, and how
+    many rows come before it in its segment of the shard. Only ids and numbers are shuffled."""
+    rows = cut(drawn.withColumn("_row", F.monotonically_increasing_id()))
+    copies = rows.where("copies > 0").select("_row", "doc_id", "_key", F.col("place").alias("_seed"), F.posexplode(F.slice("shards", 1, F.col("copies"))).alias("_pass", "_shard"))
+    copies = copies.withColumn("_place", _place("_seed", "_pass", "_shard"))
+    order = Window.partitionBy(*_segment("_shard", "_place")).orderBy("_place", "doc_id", "_key", "_pass", "_row")
+    copies = copies.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    found = copies.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pass", "_shard", "_place", "_rank"))).alias("_copies"))
+    parts = [F.coalesce(F.col(f"_copies.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, kind, name in (("_shard", "int", "shards"), ("_place", "long", "places"), ("_rank", "long", "ranks"))]
+    return rows.join(found, "_row", "left").select(*[c for c in drawn.columns if c not in ("shards", "place")], *parts)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every column of ``docs`` with ``_shard`` and ``_place``, each row as often as it is taken, sorted by
     ``_place`` inside each segment of a shard. Write it with ``partitionBy("_shard")`` for shard folders."""
@@ -130,6 +153,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumns({mine: F.xxhash64("text")})
     rows = keyed.join(drawn, keyed["doc_id"].cast("long").eqNullSafe(drawn[own]) & (keyed[mine] == drawn[key]))
     rows = rows.select(*[keyed[c] for c in columns], F.posexplode(F.slice(shards, 1, F.col(copies))).alias(turn, "_shard"), seed)
-    rows = rows.withColumn("_place", F.xxhash64(seed, turn, "_shard")).drop(turn, seed)
-    # a shard is dealt to SEGMENTS tasks by the leading bits of the place, so tasks stay small when there are few shards
-    return rows.repartition(F.col("_shard"), F.floor(F.col("_place") / F.lit(float(2**64 / SEGMENTS)))).sortWithinPartitions("_shard", "_place")
+    rows = rows.withColumn("_place", _place(seed, turn, "_shard")).drop(turn, seed)
+    return rows.repartition(*_segment("_shard", "_place")).sortWithinPartitions("_shard", "_place")
