@@ -3,8 +3,8 @@
 Texts are tokenized where they lie; only (id, piece, start, length, checksum) go on. Documents longer than the capacity are
 cut into pieces; full pieces are sequences by themselves. The rest is dealt at random into groups of about GROUP pieces,
 and each group is packed in one task, so a group wastes at most part of a sequence. In a group, best fit decreasing
-opens bins; then documents are moved, exchanged one for one or two for one between underfull bins, always so that the
-sum of squared fills grows, until no step helps; bins that run empty are gone.
+opens bins; then documents are moved, exchanged one for one or two for one from an underfull bin to one at least as full, always
+so that the sum of squared fills grows, until a pass over all bins finds no such step; bins that run empty are gone.
 
 Null and empty texts are one end-of-document token. Every row is packed, also repeated ones. Extra columns are not read."""
 
@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,68 +107,72 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 50) -> list[list[int]]:
-    """Swap-based local search. Takes the emptiest underfull bin and pushes its contents into fuller ones: it moves a document
-    where there is room, else gives one document for a smaller one, or two for one smaller than both together, so
-    that the fuller bin becomes fuller. Each step adds to the sum of squared fills; a bin that nothing can be taken from
-    any more is set aside."""
-    bins = [sorted(b, key=lambda i: lengths[i]) for b in bins]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    # underfull bins by fill; only they take part, full ones cannot be filled further
-    open_ = sorted((fill[b], b) for b in range(len(bins)) if fill[b] < capacity)
-    size = lambda i: lengths[i]
-
-    def swap(a: int, give: list[int], b: int, take: list[int]) -> None:
-        open_.remove((fill[b], b))
-        for i in give:
-            bins[a].remove(i)
-            insort(bins[b], i, key=size)
-        for i in take:
-            bins[b].remove(i)
-            insort(bins[a], i, key=size)
-        gain = sum(map(size, give)) - sum(map(size, take))
-        fill[a] -= gain
-        fill[b] += gain
-        if fill[b] < capacity:
-            insort(open_, (fill[b], b))
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Swap-based local search. Takes underfull bins, the emptiest first, and pushes their contents into bins at least as full: it moves
+    a document where there is room, else gives one document for a smaller one, or two for one smaller than both together,
+    so that the fuller bin becomes fuller. Each step adds to the sum of squared fills. All bins, partners and pairs count, and the
+    search ends when a pass over all underfull bins finds no step."""
+    size = np.asarray(lengths, np.int64)
+    bins = [list(b) for b in bins]
+    fill = np.array([size[b].sum() for b in bins], np.int64)
+    # full bins cannot be filled further and never take part again; documents of the others, and where they lie
+    docs = np.array([i for b, f in zip(bins, fill, strict=True) if f < capacity for i in b], np.int64)
+    home = np.array([b for b, f in enumerate(fill) if f < capacity for _ in bins[b]], np.int64)
+    slot, long = {int(i): n for n, i in enumerate(docs)}, size[docs]
+
+    def put(i: int, a: int, b: int) -> None:
+        bins[a].remove(i)
+        bins[b].append(i)
+        home[slot[i]] = b
+        fill[a] -= lengths[i]
+        fill[b] += lengths[i]
 
     def step(a: int) -> bool:
-        """One improving exchange from bin a to a bin at least as full."""
-        first = bisect_right(open_, (fill[a] - 1, len(bins)))
-        for f, b in open_[first:][::-1][:64]:  # the fullest others first; more are tried in later rounds
-            room = capacity - f
-            fits = [i for i in bins[a] if lengths[i] <= room]
-            if fits:
-                swap(a, [fits[-1]], b, [])
-                return True
-            best = None
-            there = bins[b]
-            sizes = [lengths[i] for i in there]
-            gives = [[i] for i in bins[a]] + [[i, j] for n, i in enumerate(bins[a][:12]) for j in bins[a][n + 1 : 12]]
-            for give in gives:
-                total = sum(map(size, give))
-                at = bisect_right(sizes, total - 1)  # documents smaller than what is given ...
-                low = bisect_right(sizes, total - room - 1)  # ... by at most the room
-                if low < at and (best is None or total - sizes[low] > best[0]):
-                    best = total - sizes[low], give, there[low]
-            if best:
-                swap(a, best[1], b, [best[2]])
-                return True
+        """One improving step from bin a to a bin at least as full, if there is any."""
+        room = capacity - fill[home]
+        theirs = np.flatnonzero((fill[home] >= fill[a]) & (room > 0) & (home != a))
+        if not len(theirs):
+            return False
+        room, there = room[theirs], long[theirs]
+        mine = size[bins[a]]
+        if len(fits := np.flatnonzero(room >= mine.min())):
+            to = fits[room[fits].argmin()]  # the fullest bin that a document fits in takes the largest that fits
+            put(max((i for i in bins[a] if lengths[i] <= room[to]), key=lambda i: (lengths[i], -i)), a, int(home[theirs[to]]))
+            return True
+        # a document of length n in a bin with room r can go for documents of n + 1 to n + r together
+        upto = np.zeros(2 * capacity + 1, np.int64)
+        np.maximum.at(upto, there + 1, there + room)
+        upto = np.maximum.accumulate(upto)
+        once, count = np.unique(mine, return_counts=True)
+        first, second = np.triu_indices(len(once))
+        ok = (first != second) | (count[first] > 1)
+        first, second = first[ok], second[ok]
+        for totals in (once, once[first] + once[second]):
+            good = np.flatnonzero(upto[totals] >= totals)
+            if not len(good):
+                continue
+            pick = good[totals[good].argmax()]
+            total = int(totals[pick])
+            can = np.flatnonzero((there < total) & (there + room >= total))
+            take = can[np.lexsort((theirs[can], there[can], room[can]))[0]]  # from the fullest bin, its smallest
+            sizes = [int(once[pick])] if totals is once else [int(once[first[pick]]), int(once[second[pick]])]
+            give: list[int] = []
+            for n in sizes:
+                give.append(next(i for i in bins[a] if lengths[i] == n and i not in give))
+            i, b = int(docs[theirs[take]]), int(home[theirs[take]])
+            for g in give:
+                put(g, a, b)
+            put(i, b, a)
+            return True
         return False
 
-    for _ in range(rounds):
+    changed = True
+    while changed:
         changed = False
-        for a in [b for _, b in open_[: max(64, len(open_) // 8)]]:
-            if not bins[a] or fill[a] == capacity:
-                continue
-            open_.remove((fill[a], a))
-            while bins[a] and step(a):
+        for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            while bins[a] and fill[a] < capacity and step(a):
                 changed = True
-            if bins[a]:
-                insort(open_, (fill[a], a))
-        if not changed:
-            break
-    return [b for b in bins if b]
+    return [sorted(b, key=lambda i: (lengths[i], i)) for b in bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
