@@ -1,8 +1,8 @@
 """Media columns: ISO base media files in a binary column.
 
 ``encode`` stores any bytes losslessly as an audio track of 8-bit samples; ``index`` walks the nested boxes of any
-ISO media file, decodes its sample tables and keeps codec, duration and the byte ranges of keyframes. The payload is
-never decoded: it is addressed through the tables alone. One row is one file, so nothing is shuffled and memory is
+ISO media file, decodes the sample tables and fragment runs of all tracks and keeps codec, duration and the byte ranges of
+keyframes: of each track in ``tracks``, of the first one in columns of their own. The payload is never decoded: it is addressed through the tables alone. One row is one file, so nothing is shuffled and memory is
 bounded by one Arrow batch of rows.
 
 Nulls: a null payload is stored as the empty one. Files that are no ISO media give a null index and a reason in
@@ -107,6 +107,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
 
 @dataclass
 class Track:
+    number: int = 0  # its track id
     handler: str = ""
     codec: str = ""
     timescale: int = 0
@@ -132,11 +133,20 @@ def _words(data: bytes, at: int, end: int, n: int, kind: str) -> np.ndarray:
 def _samples(t: dict[bytes, tuple[int, int]], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans, decode times and sync positions from one track's sample tables."""
     get = lambda kind: t.get(kind, (0, 0))
-    if b"stsz" not in t or (b"stco" not in t and b"co64" not in t) or b"stsc" not in t:
+    if not t.keys() & {b"stsz", b"stz2"} or (b"stco" not in t and b"co64" not in t) or b"stsc" not in t:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, end = get(b"stsz")
-    same, n = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(n, same, np.int64) if same else _words(data, at + 12, end, n, ">u4")
+    if b"stsz" in t:
+        at, end = get(b"stsz")
+        same, n = struct.unpack_from(">II", data, at + 4)
+        sizes = np.full(n, same, np.int64) if same else _words(data, at + 12, end, n, ">u4")
+    else:
+        at, end = get(b"stz2")
+        bits, n = struct.unpack_from(">II", data, at + 4)
+        bits &= 255
+        if bits not in (4, 8, 16):
+            raise ValueError("sizes of a sample table have no known width")
+        sizes = _words(data, at + 12, end, (n + 1) // 2 if bits == 4 else n, ">u2" if bits == 16 else "u1")
+        sizes = np.stack([sizes >> 4, sizes & 15], axis=1).ravel()[:n] if bits == 4 else sizes
     at, end = get(b"co64") if b"co64" in t else get(b"stco")
     starts = _words(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u8" if b"co64" in t else ">u4")
     at, end = get(b"stsc")
@@ -165,9 +175,82 @@ def _samples(t: dict[bytes, tuple[int, int]], data: bytes) -> tuple[np.ndarray,
     return spans, times, keys
 
 
+class _Fragments:
+    """Samples of movie fragments, added to the tracks of ``media`` in the order of the file."""
+
+    def __init__(self, data: bytes, media: Media) -> None:
+        self.data, self.media = data, media
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # by track id: duration, size and flags of a sample
+        self.ends: dict[int, int] = {}  # by track id: the decode time at which it ends
+        self.moof = self.next = 0
+        self.track: Track | None = None
+
+    def box(self, kind: bytes, at: int, end: int) -> None:
+        def take(form: str, skip: int = 4) -> tuple:
+            if at + skip + struct.calcsize(form) > end:
+                raise ValueError("a box is cut off")
+            return struct.unpack_from(form, self.data, at + skip)
+
+        if kind == b"trex":
+            number, _, *values = take(">5I")
+            self.defaults[number] = tuple(values)
+        elif kind == b"moof":
+            self.moof = self.next = at - (8 if self.data[at - 4 : at] == kind else 16)
+        elif kind == b"traf":
+            self.track = None
+        elif kind == b"tfhd":
+            flags, number = take(">II", 0)
+            if (track := next((t for t in self.media.tracks if t.number == number), None)) is None:
+                raise ValueError("a fragment names a track that does not exist")
+            self.track, skip, values = track, 8, list(self.defaults.get(number, (0, 0, 0)))
+            if flags & 1:
+                self.next, skip = take(">Q", skip)[0], skip + 8
+            elif flags & 0x20000:
+                self.next = self.moof
+            self.base = self.next
+            skip += 4 * bool(flags & 2)
+            for i, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    values[i], skip = take(">I", skip)[0], skip + 4
+            self.values = values
+            if number not in self.ends:
+                self.ends[number] = track.duration if len(track.spans) else 0
+        elif self.track is None:
+            raise ValueError("a fragment has no header")
+        elif kind == b"tfdt":
+            self.ends[self.track.number] = take(">Q" if self.data[at] else ">I")[0]
+        elif kind == b"trun":
+            self.run(at, end, *take(">II", 0))
+
+    def run(self, at: int, end: int, flags: int, n: int) -> None:
+        track, skip, start, first = self.track, at + 8, self.next, None
+        if flags & 1:
+            start, skip = self.base + struct.unpack_from(">i", self.data, skip)[0], skip + 4
+        if flags & 4:
+            first, skip = struct.unpack_from(">I", self.data, skip)[0], skip + 4
+        bits = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+        if not bits and n > len(self.data):
+            raise ValueError("a fragment run has more samples than the file has bytes")
+        table = _words(self.data, skip, end, n * len(bits), ">u4").reshape(n, len(bits)) if bits else None
+        column = lambda bit, same: table[:, bits.index(bit)] if bit in bits else np.full(n, same, np.int64)
+        steps, sizes, marks = (column(b, v) for b, v in zip((0x100, 0x200, 0x400), self.values, strict=True))
+        if n and first is not None:
+            marks = np.append(first, marks[1:])
+        self.next = start + int(sizes.sum())
+        if start < 0 or self.next > len(self.data):
+            raise ValueError("a sample lies outside the file")
+        begin = self.ends[track.number]
+        self.ends[track.number] = begin + int(steps.sum())
+        track.keys = np.append(track.keys, len(track.spans) + np.flatnonzero(~marks & 0x10000))
+        track.spans = np.concatenate([track.spans, np.stack([start + np.cumsum(sizes) - sizes, sizes], axis=1)])
+        track.times = np.append(track.times, begin + np.cumsum(steps) - steps)
+        track.duration = max(track.duration, self.ends[track.number])
+
+
 def parse_media(data: bytes) -> Media:
     """Tracks with their sample tables, from the boxes alone. ValueError if ``data`` is no ISO media file."""
     media, tables = Media(), {}
+    fragments = _Fragments(data, media)
     try:
         boxes = list(walk(data))
         if not boxes or boxes[0][0][-1] not in (b"ftyp", b"moov", b"styp", b"mdat", b"wide", b"free"):
@@ -181,6 +264,10 @@ def parse_media(data: bytes) -> Media:
                 tables = {}
             elif path[:2] == (b"moov", b"udta") and len(path) == 3:
                 media.extra[kind] = data[at:end]
+            elif path == (b"moov", b"trak", b"tkhd"):
+                media.tracks[-1].number = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
+            elif path[0] == b"moof" and kind in (b"moof", b"traf", b"tfhd", b"tfdt", b"trun") or path == (b"moov", b"mvex", b"trex"):
+                fragments.box(kind, at, end)
             elif path[:2] == (b"moov", b"trak") and len(path) > 3:
                 track = media.tracks[-1]
                 if kind == b"hdlr":
@@ -191,7 +278,7 @@ def parse_media(data: bytes) -> Media:
                     track.codec = data[at + 12 : at + 16].decode("latin-1")
                 elif path[-2] == b"stbl":
                     tables[kind] = at, end
-                    track.spans, track.times, track.keys = _samples(tables, data) if {b"stsz", b"stsc"} <= tables.keys() and tables.keys() & {b"stco", b"co64"} else (track.spans, track.times, track.keys)
+                    track.spans, track.times, track.keys = _samples(tables, data) if b"stsc" in tables and tables.keys() & {b"stsz", b"stz2"} and tables.keys() & {b"stco", b"co64"} else (track.spans, track.times, track.keys)
     except struct.error as e:
         raise ValueError("a box is cut off") from e
     return media
@@ -222,10 +309,19 @@ def encode(df: DataFrame, key: str = "doc_id", payload: str = "text") -> DataFra
 INDEX = (
     "media_bytes long, media_sha256 string, brand string, handler string, codec string, duration_s double, n_samples long, "
     "n_keyframes long, keyframe_ranges array<struct<start: long, size: long>>, n_bytes long, payload_bytes long, "
-    "payload_sha256 string, tail_crc32 long, error string"
+    "payload_sha256 string, tail_crc32 long, error string, tracks array<struct<handler: string, codec: string, duration_s: double, "
+    "n_samples: long, n_keyframes: long, keyframe_ranges: array<struct<start: long, size: long>>>>"
 )
 
 
+def _entry(track: Track) -> dict:
+    ranges = [{"start": a, "size": b} for a, b in track.spans[track.keys].tolist()]
+    return {
+        "handler": track.handler, "codec": track.codec, "duration_s": track.duration / track.timescale if track.timescale else None,
+        "n_samples": len(track.spans), "n_keyframes": len(track.keys), "keyframe_ranges": ranges,
+    }
+
+
 def index_media(data: bytes | None) -> dict:
     """One file's row of ``index``."""
     data = data or b""
@@ -234,15 +330,13 @@ def index_media(data: bytes | None) -> dict:
         media = parse_media(data)
         if not media.tracks:
             raise ValueError("no track")
-        track = media.tracks[0]
         payload = read_back(data, media)
     except ValueError as e:
         return row | {"error": str(e)}
-    ranges = [{"start": a, "size": b} for a, b in track.spans[track.keys].tolist()]
+    tracks = [_entry(t) for t in media.tracks]
     length = media.extra.get(b"blen", b"")
     return row | {
-        "brand": media.brand, "handler": track.handler, "codec": track.codec, "duration_s": track.duration / track.timescale if track.timescale else None,
-        "n_samples": len(track.spans), "n_keyframes": len(track.keys), "keyframe_ranges": ranges,
+        "brand": media.brand, **tracks[0], "tracks": tracks,
         "n_bytes": struct.unpack(">Q", length)[0] if len(length) == 8 else None, "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
     }
