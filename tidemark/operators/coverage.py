@@ -126,12 +126,15 @@ class Coverage:
         return None
 
     def _core(self, given: dict[str, bool]) -> dict[str, bool]:
-        """Assumptions that some region's refutation uses: all that are needed to keep every region away."""
+        """Assumptions that some region's refutation uses: all that are needed to keep every region away. An atom of a region is
+        false if it is given so, or if another atom of one of its choices is given as true."""
         core: dict[str, bool] = {}
         for region in self.regions:
-            clash = [a for a in region if given.get(a) is False]
-            if clash:
-                core.setdefault(clash[0], False)
+            rivals = set().union(*(c - {a} for a in region for c in self.choices if a in c))
+            clash = [a for a, v in given.items() if a in region and not v] + [a for a, v in given.items() if a in rivals and v]
+            if clash and not core.keys() & set(clash):
+                core[clash[0]] = given[clash[0]]
+        core = {a: v for a, v in given.items() if a in core}
         return core if self._solve(core, True) is None else given
 
     def _reduce(self, given: dict[str, bool], policy: Reduction) -> dict[str, bool]:
