@@ -7,7 +7,7 @@ the expected grade and the tail probability P(grade >= k), by which documents ar
 Features, hashed to 2**LOG_WIDTH places: words and their beginnings (log counts, scaled down in long texts), the shapes of tokens (runs of letters,
 capitals and digits collapsed; as shares of all tokens), the share of tokens that repeat the one before, and the share of
 distinct tokens by length of the text. The model is fitted on at most SAMPLE rated documents, those with the smallest hash
-of their id (a documented bound); every document is scored on its whole text. Scoring shuffles nothing.
+of their id (a documented bound); every document is scored on its whole text, tokens over CHUNK bytes as consecutive chunks. Scoring shuffles nothing.
 
 Null and empty texts have no features but that of an empty text. Without ratings, or with one grade only, the model gives
 every document the highest grade that was seen (0 without ratings) and keeps all."""
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
 
 LOG_WIDTH, SAMPLE, LEAST_DOCS = 20, 6000, 3
+CHUNK = 64  # bytes; longer tokens count as consecutive tokens of so many
 STEMS = 4, 5  # bytes of a word's beginnings that are features, too
 GRADES = 3  # 0: junk, 1: readable but toxic, 2: clean
 KEEP_GRADE, KEEP_TAIL = 2, 0.5
@@ -58,7 +59,7 @@ def token_shape(token: bytes) -> bytes:
 def token_places(token: bytes) -> tuple[int, ...]:
     """Places of a token's shape, its word and the word's beginnings."""
     word = token.lower().strip(_EDGES)
-    return place(b"s" + token_shape(token[:64])), place(b"w" + word), *(place(b"p" + word[:n]) for n in STEMS if len(word) > n)
+    return place(b"s" + token_shape(token)), place(b"w" + word), *(place(b"p" + word[:n]) for n in STEMS if len(word) > n)
 
 
 class Featurizer:
@@ -81,6 +82,9 @@ class Featurizer:
         if not n:
             return {place(b"empty"): 1.0}
         counts = Counter(tokens)
+        if max(map(len, counts)) > CHUNK:
+            tokens = [t[i : i + CHUNK] for t in tokens for i in range(0, len(t), CHUNK)]
+            n, counts = len(tokens), Counter(tokens)
         words: dict[int, int] = {}
         shapes: dict[int, int] = {}
         known, find = self.known, self._places
