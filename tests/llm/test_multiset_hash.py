@@ -1,7 +1,9 @@
 import hashlib
 import math
+import random
 import re
 import struct
+from collections import Counter
 
 import pytest
 import xxhash
@@ -15,48 +17,57 @@ def parts(text: str) -> list[str]:
     return re.findall(mh.PART, text)
 
 
+def lanes(p: str) -> list[int]:
+    """Slices of 60 bits of the paragraph's SHA-256."""
+    h = hashlib.sha256(p.encode()).hexdigest()
+    return [int(h[15 * k : 15 * k + 15], 16) for k in range(mh.IDENTITY)]
 
 
-def brute(text: str) -> list[int]:
-    identity = [sum(seeded_text(p, k) for p in text.split("\n")) % mh.MODULUS for k in range(mh.IDENTITY)]
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts(text)]
-    counters = []
-    for k in range(mh.SEEDS):
-        mixed = [xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)) for h in hashes]
-        counters += [sum((m >> i & 1) + ((m >> i + mh.FIELD & 1) << mh.FIELD) + ((m >> i + 2 * mh.FIELD & 1) << 2 * mh.FIELD) for m in mixed) % mh.MODULUS for i in range(mh.FIELD)]
-    return [*identity, len(hashes), *counters]
-
+def seeded(p: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
 
-def seeded_text(p: str, seed: int) -> int:
-    return xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(p.encode(), 42))
 
-
-def signed(v: list[int]) -> list[int]:
-    return [2 * (x >> k * mh.FIELD & (1 << mh.FIELD) - 1) - v[mh.IDENTITY] for x in v[mh.IDENTITY + 1 :] for k in range(3)]
+def brute(text: str) -> list[int]:
+    identity = [sum(x) % mh.MODULUS for x in zip(*(lanes(p) for p in text.split("\n")), strict=True)]
+    found = parts(text)
+    return [*identity, len(found), *(sum(h >> i & 1 for h in hashes) for hashes in ([seeded(p, k) for p in found] for k in range(mh.SEEDS)) for i in range(64))]
 
 
 def alike(a, b):
     if a == b:
         return 1.0
     dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
-    x, y = signed(a), signed(b)
+    x, y = ([2 * k - v[mh.IDENTITY] for k in v[mh.IDENTITY + 1 :]] for v in (a, b))
     size = math.sqrt(dot(x, x) * dot(y, y))
     return min(1.0, max(0.0, dot(x, y) / size)) if size else 0.0
 
 
+def in_order(rows):
+    key = lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42))
+    return sorted(((d, t or "") for d, t in rows), key=key)
+
+
+def following(rows):
+    docs = in_order(rows)
+    return Counter((d, t, docs[(k + 1) % len(docs)][1]) for k, (d, t) in enumerate(docs))
+
+
+def found_next(df, rows_a_task):
+    return Counter((r["doc_id"], r["text"], r["next"]["text"]) for r in mh.with_next(df, rows_a_task).select("doc_id", "text", "next.text").toDF("doc_id", "text", "n").selectExpr("doc_id", "text", "named_struct('text', n) AS next").collect())
+
+
 def test_against_brute_force(spark, odd_docs, no_docs):
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    docs = in_order((r["doc_id"], r["text"]) for r in odd_docs.collect())
     want = []
     for k, (doc, text) in enumerate(docs):
         follows = docs[(k + 1) % len(docs)][1]
         n = len(text) // 4
         edited = text[: len(text) - n] + follows[:n]
         a, b, c = brute(text), brute(edited), brute(follows)
-        hexed = lambda v: "".join(f"{x:015x}" for x in v)
+        hexed = lambda v: ".".join(f"{x:x}" for x in v)
         want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(alike(a, b), 9), round(alike(a, c), 9)))
-    for per_bucket in (1024, 3):  # one bucket; many
-        found = mh.with_next(odd_docs, per_bucket)
-        assert sorted(str((r["doc_id"], r["text"], r["next"]["text"])) for r in found.collect()) == sorted(str((d, t, docs[(k + 1) % len(docs)][1])) for k, (d, t) in enumerate(docs))
+    for rows_a_task in (10_000, 3):  # few buckets; many
+        assert found_next(odd_docs, rows_a_task) == following(docs)
     got = [(r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in map(tuple, mh.fingerprint_edits(odd_docs).collect())]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert mh.fingerprint_edits(no_docs).count() == 0
@@ -64,6 +75,19 @@ def test_against_brute_force(spark, odd_docs, no_docs):
     assert one["near_next"] == 1.0
 
 
+def test_ids_far_apart_clumped_equal_or_null(spark):
+    rng = random.Random(3)
+    far = [(1, "a"), (2**62, "b"), (-(2**63), "c"), (2**63 - 1, "d"), (None, "e"), (0, "f"), (-1, "g")]
+    clumped = [(i, f"t{i}") for i in range(2000)] + [(2**40, "outlier")]
+    nulls = [(None, f"t{rng.random()}") for _ in range(3000)]
+    copies = [(7, "same")] * 3000 + [(i, f"u{i}") for i in range(1000)] + [(None, None)] * 2500
+    for rows in (far, clumped, nulls, copies):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert found_next(df, 128) == following(rows)
+        loads = [r["n"] for r in mh.with_next(df, 128).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(loads) < 5 * max(128, len(rows) / 8)
+
+
 def test_homomorphism(spark):
     df = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nc", "b")], "abc string, cab string, ac string, b string")
     v = {c: mh.vector(F.col(c)) for c in df.columns}
@@ -77,6 +101,17 @@ def test_homomorphism(spark):
     assert many == [100 * x % mh.MODULUS for x in brute("a long line")]
 
 
+def test_counts_do_not_carry(spark):
+    """Collections far beyond what a packed count holds keep their likeness."""
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.lit("one and two")))
+    v = spark.range(1).select(mh.vector(text).alias("v")).first()["v"]
+    assert v == [300 * x % mh.MODULUS for x in brute("one and two")]
+    grown = spark.range(5000).select((F.col("id") % 2).alias("g"), mh.vector(F.concat(F.lit("same line here\n"), F.expr("repeat('three more words\n', 1000)"))).alias("vector"))
+    a, b = (r["vector"] for r in mh.collection(grown, ["g"]).collect())
+    near = spark.createDataFrame([(a, b, brute("not like it"))], "a array<long>, b array<long>, c array<long>").select(mh.likeness(F.col("a"), F.col("b")), mh.likeness(F.col("a"), F.col("c"))).first()
+    assert a[mh.IDENTITY] == 2500 * 1001 and near[0] == 1.0 and near[1] < 0.3
+
+
 def test_blanks_count_for_equality_only(spark):
     a, b = (mh.vector(F.lit(t)) for t in ("one two  three. four", "one two  three.  four"))
     r = spark.range(1).select(a == b, mh.likeness(a, b), mh.likeness(mh.vector(F.lit("")), mh.vector(F.lit(" ")))).first()
