@@ -30,7 +30,10 @@ class Ids:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
     For tokenizers that drop white space and cut texts there, so that the ids of a text are those of its chunks between
-    ASCII blanks one after the other. Ids of short chunks are remembered, at most CACHE_MAX."""
+    ASCII blanks one after the other. Ids of short chunks are remembered, at most CACHE_MAX; the unknown chunks of some
+    texts are encoded in one call, with SEPARATOR between them where the tokenizer has one id for it."""
+
+    SEPARATOR, AT_ONCE = "\x01", 2 << 20  # bytes of text whose unknown chunks are encoded together
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,36 +41,55 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(f" {self.SEPARATOR} ", add_special_tokens=False).ids
+        self.separator_id = mark[0] if len(mark) == 1 else None
         self.marks = dict(zip((b".", b","), self._encode([b".", b","]), strict=True))
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that are not remembered. A full stop or comma after a letter is always a token run of its own, so
-        such chunks are put together from their two parts."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        joined = f" {self.SEPARATOR} ".join(texts)
+        if self.separator_id is not None and joined.count(self.SEPARATOR) == len(texts) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
+            if len(ends) == len(texts):
+                raw = ids.tobytes()
+                return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Adds the ids of chunks that are not known, and names those that are too many or too long to be remembered. A full stop
+        or comma after a letter is always a token run of its own, so such chunks are put together from their two parts."""
         known, marks = self.known, self.marks
         cores = {c: c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in chunks}
-        new = [c for c in set(cores.values()) if c not in known]
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        out = {c: (known.get(core) or fresh.get(core, b"")) + (marks[c[-1:]] if core is not c else b"") for c, core in cores.items()}
-        for part in (fresh, out):
-            if len(known) + len(part) <= CACHE_MAX:
-                known.update((c, i) for c, i in part.items() if len(c) < 64)
-        return out
+        new = list({core for core in cores.values() if core not in known})
+        room = CACHE_MAX - len(known)
+        known.update(zip(new, self._encode(new), strict=True))
+        ended = {c: known[core] + marks[c[-1:]] for c, core in cores.items() if core is not c}
+        known.update(ended)
+        added = [*new, *ended]
+        return [c for i, c in enumerate(added) if i >= room or len(c) >= 64]
+
+    def _some(self, texts: list[bytes]) -> Iterator[bytes]:
+        # ids do not depend on case, but for the names of special tokens
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        missing = set().union(*split).difference(self.known)
+        forget = self._learn(missing) if missing else []
+        find = self.known.__getitem__
+        for chunks in split:
+            yield b"".join(map(find, chunks)) + END
+        for c in forget:
+            self.known.pop(c, None)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.known
+        some, size = [], 0
         for text in texts:
-            # ids do not depend on case, but for the names of special tokens
-            chunks = (text if b"<|" in text else text.lower()).split()
-            found = list(map(known.get, chunks))
-            if None in found:
-                fresh = self._learn({c for c, f in zip(chunks, found, strict=True) if f is None})
-                found = [fresh[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
-            found.append(END)
-            yield b"".join(found)
+            some.append(text)
+            size += len(text)
+            if size >= self.AT_ONCE:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
