@@ -1,8 +1,10 @@
 import random
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidemark.llm import near_dedup as nd
@@ -98,3 +100,66 @@ def test_components(spark):
 def test_tail_bound():
     assert nd.at_least(16, 0.85) >= 3 and nd.at_least(64, 0.85) >= 35 and nd.at_least(1, 0.85) == 1
     assert np.all(np.diff(nd.shingles(b"a b c d e f g h").astype(float)) > 0) and len(nd.shingles(b"a b")) == 1
+
+
+def brute_links(values, side, percent):
+    """Components by comparing all pairs."""
+    up = list(range(len(values)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    across = len(set(side)) > 1
+    for a in range(len(values)):
+        for b in range(a):
+            i = len(set(values[a]) & set(values[b]))
+            if i and (side[a] != side[b] or not across) and 100 * i >= percent * (len(values[a]) + len(values[b]) - i):
+                up[root(a)] = root(b)
+    return [root(i) for i in range(len(values))]
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_links_among_sets_of_all_sizes(seed, percent):
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    values = []
+    for size in (1, 2, 6, 20, 63, 64, 65, 70, 90, 300):
+        base = rng.choice(hashes, size, replace=False)
+        for _ in range(12):
+            changed = base.copy()
+            at = rng.random(size) < rng.choice([0, 0.02, 0.08, 0.12, 0.2, 0.5])
+            changed[at] = rng.choice(hashes, at.sum())
+            values.append(np.unique(changed[: max(1, int(size * rng.choice([1, 1, 0.9])))]))
+    values = [values[i] for i in rng.permutation(len(values))]
+    for side in (np.zeros(len(values), int), rng.integers(0, 2, len(values))):
+        up = list(range(len(values)))
+        root = lambda x: x if up[x] == x else root(up[x])  # noqa: E731, B023
+        links = nd.links_among(values, side, percent)
+        for a, b in links:
+            up[root(a)] = root(b)
+        assert len(links) == len(values) - len({root(i) for i in range(len(values))})  # a forest
+        assert same_partition([root(i) for i in range(len(values))], brute_links(values, side, percent))
+
+
+@pytest.mark.parametrize("n, family, limit", [(100_000, 100_000, 60), (100_000, 50, 60), (20_000, 20_000, 30)])
+def test_many_short_near_alike_sets(n, family, limit):
+    """Six shingles each, five of them those of the family; and families whose members are linked."""
+    began, rng = time.time(), np.random.default_rng(n + family)
+    base = rng.integers(0, 2**63, (n // family, 6)).astype(np.uint64)
+    rows = np.repeat(base, family, axis=0)
+    rows[np.arange(n), rng.integers(0, 6, n)] = rng.integers(0, 2**63, n).astype(np.uint64)
+    assert nd.links_among([np.sort(r) for r in rows], np.zeros(n, int), 85) == []
+    long = np.concatenate([np.tile(rng.integers(0, 2**63, 40).astype(np.uint64), (n // 5, 1)), rng.integers(0, 2**63, (n // 5, 1)).astype(np.uint64)], axis=1)
+    assert len(nd.links_among([np.sort(r) for r in long], np.zeros(len(long), int), 85)) == n // 5 - 1
+    assert time.time() - began < limit
+
+
+def test_many_short_near_alike_texts(spark):
+    words = F.array(*[F.lit(f"w{i}") for i in range(10)])
+    text = F.array_join(F.transform(words, lambda w, i: F.when(i == F.pmod("id", F.lit(10)), F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(w)), " ")
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    began = time.time()
+    assert nd.near_duplicates(docs, 85).where("kept").count() == 100_000
+    assert time.time() - began < 240

@@ -7,15 +7,17 @@
    ``INDEXED - NEED + 1`` values: values that occur once find nobody, and those of passages that everyone quotes are not used.
 3. Sets that share a list meet in one group, or if that is too heavy for a task, in its single lists; heavy groups and lists
    are cut into blocks and each pair of blocks is one task. So every pair that shares a list meets, and no task
-   holds more than about two blocks.
-4. In a task, inverted lists of whole sketches count overlaps; pairs that pass go through the union-sketch
+   holds more than about two blocks. A set of a group of b blocks is sent to b tasks.
+4. In a task, inverted lists of sketch values find pairs and count overlaps; pairs that pass go through the union-sketch
    estimate, and the rest is confirmed on the full sets. Pairs that are already connected are skipped, so links out of a task
    are a forest and not all pairs.
 5. Components of the links are found by star contraction.
 
 Chances: two different shingles share a 64-bit hash with 2**-64; a pair at the threshold is lost in 2 or 4 with about
 1e-7 and 1e-8. Rows with the same id count as one document. Rows with a null id are copied through with
-``component_id`` null and kept. Null, empty and blank texts have no shingles and link with nothing."""
+``component_id`` null and kept. Null, empty and blank texts have no shingles and link with nothing. Texts of any length are
+taken whole. Repeated rows give repeated results; an empty table gives an empty one. Only id and text are read, so other
+columns, whatever their names, cannot clash; ``keep_one`` hands them on."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, free_names, held, id_and_text, raw_texts
@@ -36,6 +38,7 @@ from tidemark.session import cut
 WORDS = 5
 K, INDEXED, MISS = 64, 16, 1e-7
 BLOCK = 1_000_000  # shingles in a block: 8 MB
+SET_COST = 64  # a set weighs as much as so many shingles at least, so a block holds BLOCK / SET_COST sets at most, about
 LISTS_FROM = 32  # groups of more blocks than this are taken list by list
 _CACHE_MAX = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,62 +105,132 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return by_batch(id_and_text(docs), run, "doc_id long, n_shingles long, digest binary, filed array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.intersect1d(a, b, assume_unique=True)
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
 
+class _Labels:
+    """Components of the links found so far; the smaller one takes the label of the larger."""
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.intersect1d(a, b, assume_unique=True)
+    def __init__(self, n: int) -> None:
+        self.of = np.arange(n)
+        self.members = {i: [i] for i in range(n)}
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((int(self.of[a]), int(self.of[b])), key=lambda x: len(self.members[x]))
+        self.of[self.members[a]] = b
+        self.members[b] += self.members.pop(a)
+
+
+class _Sketches:
+    """Sketches of sorted hash sets, values numbered from the rarest of the task to the most frequent. ``rows``: the numbers of
+    each sketch in ascending order, filled up with ``none``."""
+
+    def __init__(self, values: list[np.ndarray], side: np.ndarray, percent: int) -> None:
+        self.values, self.side, self.percent = values, side, percent
+        self.sizes = np.array([len(v) for v in values], np.int64)
+        self.low = at_least(K, percent / 100)
+        n, lengths = len(values), np.minimum(self.sizes, K)
+        distinct, at, count = np.unique(np.concatenate([v[:K] for v in values]), return_inverse=True, return_counts=True)
+        self.none = len(distinct)
+        number = np.empty(self.none, np.int64)
+        number[np.lexsort((distinct, count))] = np.arange(self.none)
+        owner, numbers = np.repeat(np.arange(n), lengths), number[at]
+        numbers = numbers[np.lexsort((numbers, owner))]
+        column = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.rows = np.full((n, K), self.none, np.int32)
+        self.rows[owner, column] = numbers
+        # how many sketch values a set shares at least with any that it can be linked with; the rarest others are enough to meet
+        least = -(-percent * self.sizes // 100)
+        least = np.where(100 * self.sizes // percent <= K, least, np.where(least >= K, self.low, np.ceil(least * (self.low / K)))).astype(np.int64)
+        filed = (column < np.repeat(lengths - least + 1, lengths)) & (np.sort(count)[numbers] > 1)
+        order = np.lexsort((owner[filed], numbers[filed]))
+        self.owner, self.value = owner[filed][order], numbers[filed][order]  # inverted lists, one after the other
+
+    def fits(self, x, y, counts: np.ndarray) -> np.ndarray:
+        """Which pairs with so many common sketch values can be linked; where both sketches are whole sets, which are."""
+        a, b = self.sizes[x], self.sizes[y]
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        enough = np.where(large <= K, 100 * counts >= self.percent * (a + b - counts), counts >= np.where(small >= K, self.low, np.ceil(small * (self.low / K))))
+        return enough & (100 * small >= self.percent * large) & (counts > 0)
+
+    def linked(self, x: int, y: int) -> bool:
+        """For a pair that fits: by the union-sketch estimate, then on the full sets."""
+        a, b = self.values[x], self.values[y]
+        if max(len(a), len(b)) <= K:
+            return True
+        if min(len(a), len(b)) >= K:  # the union's own sketch: its share of common values estimates the likeness
+            top = np.union1d(a[:K], b[:K])[K - 1]
+            if np.count_nonzero(_common(a[:K], b[:K]) <= top) < self.low:
+                return False
+        both = len(_common(a, b))
+        return 100 * both >= self.percent * (len(a) + len(b) - both)
+
+    def overlaps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Common sketch values of each pair."""
+        out = []
+        for i in range(0, len(x), 8192):
+            a, b = self.rows[x[i : i + 8192]], self.rows[y[i : i + 8192]]
+            both = np.sort(np.concatenate([np.where(a == self.none, -1 - np.arange(K), a), np.where(b == self.none, -1 - K - np.arange(K), b)], axis=1), axis=1)
+            out.append((both[:, 1:] == both[:, :-1]).sum(axis=1))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def links_among(values: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among sorted hash sets: all pairs if ``side`` is constant, else pairs across sides.
 
-    A pair that meets in no value of the sketches, or whose union-sketch estimate is far off, is not compared in full."""
-    n, share = len(values), percent / 100
-    low = at_least(K, share)
-    sketches = [v[:K] for v in values]
-    sizes = np.array([len(v) for v in values])
-    flat = np.concatenate(sketches) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), [len(s) for s in sketches])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    across = bool(n) and side.min() != side.max()
-    forest, out = _Forest(n), []
-    for x in range(n):
-        s = sketches[x]
-        a, b = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-        keep = b - a > 1
-        if not keep.any():
-            continue
-        counts = np.bincount(np.concatenate([owner[i:j] for i, j in zip(a[keep], b[keep], strict=True)]), minlength=n)[:x]
-        small, large = np.minimum(sizes[:x], sizes[x]), np.maximum(sizes[:x], sizes[x])
-        fit = (counts >= np.where(small >= K, low, np.ceil(small * (low / K)))) & (100 * small >= percent * large) & (counts > 0)
+    Sets meet in inverted lists of the rarest values of their sketches, enough of them that linked sets meet. First each set
+    is compared with its neighbour in its rarest and in its most frequent list, which connects families of near copies. Then
+    only lists that still hold several components are gone through, and in them only sets of other components. A pair whose
+    union-sketch estimate is far off is not compared in full."""
+    n = len(values)
+    if n < 2:
+        return []
+    across = side.min() != side.max()
+    s, labels, out = _Sketches(values, side, percent), _Labels(n), []
+    owner, value = s.owner, s.value
+
+    def settle(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> None:
+        fit = s.fits(x, y, counts) & ((side[x] != side[y]) | (not across))
+        x, y, counts = x[fit], y[fit], counts[fit]
+        for i in np.argsort(-counts, kind="stable").tolist():
+            if labels.of[x[i]] != labels.of[y[i]] and s.linked(int(x[i]), int(y[i])):
+                labels.join(x[i], y[i])
+                out.append((int(x[i]), int(y[i])))
+
+    after = np.flatnonzero(value[1:] == value[:-1]) + 1  # entries with a neighbour before them in their list
+    by_set = after[np.argsort(owner[after], kind="stable")]  # ascending by value inside a set
+    first = np.flatnonzero(np.diff(owner[by_set], prepend=-1))
+    last = np.flatnonzero(np.diff(owner[by_set], append=-1))
+    near = by_set[np.unique(np.concatenate([first, last]))]
+    x, y = owner[near], owner[near - 1]
+    settle(x, y, s.overlaps(x, y))
+
+    if len(value):
+        starts = np.flatnonzero(np.diff(value, prepend=-1))
+        open_ = np.minimum.reduceat(labels.of[owner], starts) != np.maximum.reduceat(labels.of[owner], starts)
         if across:
-            fit &= side[:x] != side[x]
-        cand = np.flatnonzero(fit)
-        for y in cand[np.argsort(-counts[cand], kind="stable")].tolist():
-            if forest.root(x) == forest.root(y):
-                continue
-            if len(s) == K and len(sketches[y]) == K:  # the union's own sketch: its share of common values estimates the likeness
-                top = np.union1d(s, sketches[y])[K - 1]
-                if np.count_nonzero(_common(s, sketches[y]) <= top) < low:
-                    continue
-            inter = len(_common(values[x], values[y]))
-            if 100 * inter >= percent * (len(values[x]) + len(values[y]) - inter):
-                forest.join(x, y)
-                out.append((x, y))
+            open_ &= np.minimum.reduceat(side[owner], starts) != np.maximum.reduceat(side[owner], starts)
+        of_list = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
+        entries = np.flatnonzero(open_[of_list] & (starts[of_list] < np.arange(len(value))))
+        entries = entries[np.argsort(owner[entries], kind="stable")]
+        cuts = np.flatnonzero(np.diff(owner[entries], prepend=-1))
+        seen, hit = np.zeros(n, bool), np.zeros(s.none + 1, bool)
+        for mine in np.split(entries, cuts[1:]) if len(entries) else []:
+            x = int(owner[mine[0]])
+            for a, b in zip(starts[of_list[mine]].tolist(), mine.tolist(), strict=True):
+                seen[owner[a:b]] = True
+            found = np.flatnonzero(seen[:x])
+            seen[found] = False
+            found = found[labels.of[found] != labels.of[x]]
+            if across:
+                found = found[side[found] != side[x]]
+            if len(found):
+                hit[s.rows[x]] = True
+                hit[s.none] = False
+                counts = hit[s.rows[found]].sum(axis=1)
+                hit[s.rows[x]] = False
+                settle(np.full(len(found), x), found, counts)
     return out
 
 
@@ -173,6 +246,10 @@ def candidate_lists(classes: DataFrame, percent: int) -> DataFrame:
     return rare.select(F.col("m.value").alias("value"), "rep", "n_shingles")
 
 
+def _weight() -> Column:
+    return F.greatest(F.col("n_shingles"), F.lit(SET_COST))
+
+
 def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """(a, b): links between class representatives, enough of them to connect all that the full sets connect."""
     lists = cut(candidate_lists(classes, percent))
@@ -180,14 +257,14 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
     stars = lists.join(starts, "value").select("value", "rep", "n_shingles", "pivot")
     groups = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     members = cut(groups.join(classes.select(F.col("rep").alias("node"), "n_shingles", "digest"), "node"))
-    heavy = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
+    heavy = members.groupBy("component").agg(F.sum(_weight()).alias("weight"))
     # at most one such group for each LISTS_FROM * BLOCK shingles of the corpus: 600,000 ids of 8 bytes for 100 TB of text
     many = F.broadcast(heavy.where(F.col("weight") > LISTS_FROM * BLOCK).select("component"))
     # groups that fit are taken whole, the others list by list; both in blocks
     whole = members.join(many, "component", "left_anti").select(F.col("component").alias("grp"), F.lit(None).cast("long").alias("value"), "node", "n_shingles")
     single = members.join(many, "component", "left_semi").join(stars.select(F.col("rep").alias("node"), "value"), "node").select(F.col("component").alias("grp"), "value", "node", "n_shingles")
     placed = whole.unionByName(single)
-    weights = cut(placed.groupBy("grp", "value").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))).withColumnsRenamed({"grp": "_grp", "value": "_value"})
+    weights = cut(placed.groupBy("grp", "value").agg(F.ceil(F.sum(_weight()) / BLOCK).cast("int").alias("blocks"))).withColumnsRenamed({"grp": "_grp", "value": "_value"})
     placed = placed.join(weights, (F.col("grp") == F.col("_grp")) & F.col("value").eqNullSafe(F.col("_value"))).select("grp", "value", "node", "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
