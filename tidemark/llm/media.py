@@ -2,11 +2,15 @@
 
 ``encode`` stores any bytes losslessly as an audio track of 8-bit samples; ``index`` walks the nested boxes of any
 ISO media file, decodes the sample tables and fragment runs of all tracks and keeps codec, duration and the byte ranges of
-keyframes: of each track in ``tracks``, of the first one in columns of their own. The payload is never decoded: it is addressed through the tables alone. One row is one file, so nothing is shuffled and memory is
-bounded by one Arrow batch of rows.
+keyframes: of each track in ``tracks``, of the first one in columns of their own. The payload is never decoded: it is addressed
+through the tables alone. One row is one file, so nothing is shuffled and memory is bounded by one Arrow batch of rows.
 
-Nulls: a null payload is stored as the empty one. Files that are no ISO media give a null index and a reason in
-``error``. Rows with equal bytes give equal results, whatever their ids; extra columns are left out of the result."""
+Files come from anywhere: every count is checked against the bytes that are there before anything is allocated, a file of n bytes
+gives at most n samples a track, and whatever is cut off or contradicts itself gives a null index and a reason in ``error``.
+
+Nulls: a null payload is stored as the empty one; a null media file has an ``error``. Texts of any length are stored whole.
+Rows with equal bytes give equal results, whatever their ids; repeated rows give repeated results and an empty table an empty
+one. Columns other than key and payload are not read, so they cannot clash."""
 
 from __future__ import annotations
 
@@ -114,6 +118,7 @@ class Track:
     duration: int = 0
     spans: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))  # start and size of each sample
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # decode time of each sample
+    shifts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # from decode to composition time of each sample
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # positions of sync samples, from 0
 
 
@@ -130,14 +135,21 @@ def _words(data: bytes, at: int, end: int, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def _samples(t: dict[bytes, tuple[int, int]], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans, decode times and sync positions from one track's sample tables."""
+def _runs(data: bytes, at: int, end: int, n: int, kind: str) -> np.ndarray:
+    """``n`` values, at most, from a table of (how many, value)."""
+    steps = _words(data, at + 8, end, 2 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 2)
+    upto = np.minimum(np.cumsum(steps[:, 0]), n)
+    return np.repeat(steps[:, 1].astype(">u4").astype(kind).astype(np.int64), np.diff(upto, prepend=0))
+
+
+def _samples(t: dict[bytes, tuple[int, int]], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans, decode times, composition shifts and sync positions from one track's sample tables."""
     get = lambda kind: t.get(kind, (0, 0))
-    if not t.keys() & {b"stsz", b"stz2"} or (b"stco" not in t and b"co64" not in t) or b"stsc" not in t:
-        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if b"stsz" in t:
         at, end = get(b"stsz")
         same, n = struct.unpack_from(">II", data, at + 4)
+        if same and n > len(data):
+            raise ValueError("a sample table has more samples than the file has bytes")
         sizes = np.full(n, same, np.int64) if same else _words(data, at + 12, end, n, ">u4")
     else:
         at, end = get(b"stz2")
@@ -151,28 +163,32 @@ def _samples(t: dict[bytes, tuple[int, int]], data: bytes) -> tuple[np.ndarray,
     starts = _words(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u8" if b"co64" in t else ">u4")
     at, end = get(b"stsc")
     runs = _words(data, at + 8, end, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(starts) + 1))) if len(runs) else np.zeros(0, np.int64)
-    if per.sum() != n or len(per) != len(starts):
+    lengths = np.diff(np.append(runs[:, 0], len(starts) + 1))
+    if len(runs) and (runs[0, 0] != 1 or lengths.min() < 0):
+        raise ValueError("the chunk table is out of order")
+    per = np.repeat(runs[:, 1], lengths)
+    if len(per) != len(starts) or per.sum() != n or (len(per) and per.max() > n):
         raise ValueError("the chunk table does not add up to the samples")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per) - per
     inside = before - np.repeat(before[first[per > 0]], per[per > 0]) if n else before
     spans = np.stack([np.repeat(starts, per) + inside, sizes], axis=1)
-    if n and (spans[:, 0] + spans[:, 1]).max() > len(data):
+    if n and (spans.min() < 0 or spans.max() > len(data) or (spans[:, 0] + spans[:, 1]).max() > len(data)):
         raise ValueError("a sample lies outside the file")
-    times = np.zeros(n, np.int64)
+    times, shifts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if b"stts" in t:
-        at, end = get(b"stts")
-        steps = _words(data, at + 8, end, 2 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 2)
-        deltas = np.repeat(steps[:, 1], steps[:, 0])[:n]
+        deltas = _runs(data, *get(b"stts"), n, ">u4")
         times[: len(deltas)] = np.cumsum(deltas) - deltas
+    if b"ctts" in t:
+        moved = _runs(data, *get(b"ctts"), n, ">i4" if data[get(b"ctts")[0]] else ">u4")
+        shifts[: len(moved)] = moved
     keys = np.arange(n)  # without a sync table every sample is a sync sample
     if b"stss" in t:
         at, end = get(b"stss")
         keys = _words(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
         if len(keys) and (keys.min() < 0 or keys.max() >= n):
             raise ValueError("a sync sample does not exist")
-    return spans, times, keys
+    return spans, times, shifts, keys
 
 
 class _Fragments:
@@ -237,19 +253,23 @@ class _Fragments:
         if n and first is not None:
             marks = np.append(first, marks[1:])
         self.next = start + int(sizes.sum())
-        if start < 0 or self.next > len(self.data):
+        if start < 0 or self.next > len(self.data) or n and sizes.max() > len(self.data):
             raise ValueError("a sample lies outside the file")
+        if len(track.spans) + n > len(self.data):
+            raise ValueError("a track has more samples than the file has bytes")
         begin = self.ends[track.number]
         self.ends[track.number] = begin + int(steps.sum())
         track.keys = np.append(track.keys, len(track.spans) + np.flatnonzero(~marks & 0x10000))
         track.spans = np.concatenate([track.spans, np.stack([start + np.cumsum(sizes) - sizes, sizes], axis=1)])
         track.times = np.append(track.times, begin + np.cumsum(steps) - steps)
+        shifts = column(0x800, 0)  # version 0 has unsigned shifts
+        track.shifts = np.append(track.shifts, np.where(shifts >= 1 << 31, shifts - (1 << 32), shifts) if self.data[at] else shifts)
         track.duration = max(track.duration, self.ends[track.number])
 
 
 def parse_media(data: bytes) -> Media:
     """Tracks with their sample tables, from the boxes alone. ValueError if ``data`` is no ISO media file."""
-    media, tables = Media(), {}
+    media, tables, runs = Media(), [], []
     fragments = _Fragments(data, media)
     try:
         boxes = list(walk(data))
@@ -261,13 +281,15 @@ def parse_media(data: bytes) -> Media:
                 media.brand = data[at : at + 4].decode("latin-1")
             elif path == (b"moov", b"trak"):
                 media.tracks.append(Track())
-                tables = {}
+                tables.append({})
             elif path[:2] == (b"moov", b"udta") and len(path) == 3:
                 media.extra[kind] = data[at:end]
+            elif end > len(data) or kind in (b"tkhd", b"mdhd") and end - at < 20:
+                raise ValueError("a box is cut off")
             elif path == (b"moov", b"trak", b"tkhd"):
                 media.tracks[-1].number = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
             elif path[0] == b"moof" and kind in (b"moof", b"traf", b"tfhd", b"tfdt", b"trun") or path == (b"moov", b"mvex", b"trex"):
-                fragments.box(kind, at, end)
+                runs.append((kind, at, end))  # after all sample tables
             elif path[:2] == (b"moov", b"trak") and len(path) > 3:
                 track = media.tracks[-1]
                 if kind == b"hdlr":
@@ -277,9 +299,13 @@ def parse_media(data: bytes) -> Media:
                 elif kind == b"stsd":
                     track.codec = data[at + 12 : at + 16].decode("latin-1")
                 elif path[-2] == b"stbl":
-                    tables[kind] = at, end
-                    track.spans, track.times, track.keys = _samples(tables, data) if b"stsc" in tables and tables.keys() & {b"stsz", b"stz2"} and tables.keys() & {b"stco", b"co64"} else (track.spans, track.times, track.keys)
-    except struct.error as e:
+                    tables[-1][kind] = at, end
+        for track, found in zip(media.tracks, tables, strict=True):
+            if b"stsc" in found and found.keys() & {b"stsz", b"stz2"} and found.keys() & {b"stco", b"co64"}:
+                track.spans, track.times, track.shifts, track.keys = _samples(found, data)
+        for kind, at, end in runs:
+            fragments.box(kind, at, end)
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError("a box is cut off") from e
     return media
 
