@@ -1,0 +1,81 @@
+"""The fit against a plain likelihood, and what reaches the driver."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tidemark.llm import quality
+
+
+def loss(model, rows, grades, l2=2e-4):
+    """Mean negative log likelihood, grades weighted like in the fit, with the penalty."""
+    n, seen = len(rows), set(grades)
+    weight = [math.sqrt(n / (len(seen) * grades.count(g))) for g in grades]
+    mean = sum(weight) / n
+    w = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    total = 0.0
+    for row, g, b in zip(rows, grades, weight, strict=True):
+        score = sum(w.get(p, 0.0) * v for p, v in row.items())
+        at_most = lambda k: 0.0 if k < 0 else 1.0 if k >= len(model.thresholds) else 1 / (1 + math.exp(score - model.thresholds[k]))  # noqa: B023, E731
+        total -= b / mean * math.log(max(at_most(g) - at_most(g - 1), 1e-9)) / n
+    return total + l2 / 2 * sum(x * x for x in w.values())
+
+
+def sample(seed, n=240):
+    rng = random.Random(seed)
+    rows, grades = [], []
+    for _ in range(n):
+        g = rng.randrange(3)
+        rows.append({p: rng.choice([1.0, 0.5]) for p in range(1, 8) if rng.random() < (0.2 + 0.25 * g if p < 4 else 0.4)} | {9: 1.0})
+        grades.append(g)
+    return rows, grades
+
+
+def fitted(rows, grades, **options):
+    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    return quality.fit(r, np.array([p for x in rows for p in x]), np.array([v for x in rows for v in x.values()]), grades, **options)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_no_step_from_the_fit_lowers_the_loss(seed):
+    """The gradient, taken by differences of the plain likelihood, is flat at the fit."""
+    rows, grades = sample(seed)
+    model = fitted(rows, grades, steps=3000, rate=0.02)
+    assert len(model.places) >= 2 and (np.diff(model.thresholds) > 0).all()
+    best = loss(model, rows, grades)
+    for part in (model.weights, model.thresholds):
+        for i in range(len(part)):
+            for step in (0.02, -0.02):
+                part[i] += step
+                assert loss(model, rows, grades) > best - 1e-5
+                part[i] -= step
+    assert best < loss(quality.OrdinalModel(model.places, model.weights * 0, model.thresholds), rows, grades)
+
+
+def test_scores_against_plain_sums(spark, odd_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, quality.graded(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
+    w = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    for df in (docs, odd_docs):
+        want = []
+        for r in df.collect():
+            score = sum(w.get(p, 0.0) * v for p, v in quality.Featurizer()((r["text"] or "").encode()).items())
+            tails = [1 / (1 + math.exp(min(40, max(-40, t - score)))) for t in model.thresholds]
+            want.append((r["doc_id"], round(sum(tails), 6), round(tails[1], 6), tails[1] >= 0.5))
+        got = [(r[0], round(r[1], 6), round(r[2], 6), r[3]) for r in quality.score(df, model).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        kept = quality.select(df, model)
+        assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[3])
+    assert quality.score(no_docs, model).count() == 0
+
+
+def test_a_rated_id_that_repeats_reaches_the_driver_once(spark, monkeypatch):
+    rows = [(1, f"text number {i % 50} of one id") for i in range(5000)] + [(i, "other words here %d" % i) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1, 30)] + [(1, 2)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda r, at, v, grades, n: seen.append((len(grades), len(set(r.tolist())))))
+    quality.train(docs, ratings)
+    assert seen == [(29, 29)]

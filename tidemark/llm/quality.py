@@ -9,7 +9,8 @@ capitals and digits collapsed; as shares of all tokens), the share of tokens tha
 distinct tokens by length of the text. The model is fitted on at most SAMPLE rated documents, those with the smallest hash
 of their id (a documented bound); every document is scored on its whole text, tokens over CHUNK bytes as consecutive chunks. Scoring shuffles nothing.
 
-Null and empty texts have no features but that of an empty text. Without ratings, or with one grade only, the model gives
+Null and empty texts have no features but that of an empty text. Repeated rows get the same score; an empty table gives an empty
+result. Only id and text are read, so extra columns cannot clash; ``select`` hands them on. Without ratings, or with one grade only, the model gives
 every document the highest grade that was seen (0 without ratings) and keeps all."""
 
 from __future__ import annotations
@@ -177,9 +178,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` rated documents. Their ids, at most ``sample`` of them, are broadcast; their features come to the driver."""
-    chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rated = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
+    """Fit on at most ``sample`` rated documents. Their ids, at most ``sample`` of them, are broadcast; their features come to the driver.
+    Of the rows that repeat a rated id the text with the smallest hash counts, so the driver gets one row an id."""
+    chosen = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rated = id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", F.col("grade").cast("int").alias("grade"))).alias("row"))
+    rated = rated.select("doc_id", "row.text", "row.grade")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         features = held("features", Featurizer)
