@@ -1,20 +1,27 @@
 """Sharding through fixed virtual slots, with DataFrame functions only.
 
-Each record is hashed into one of SLOTS virtual slots for good. The bytes and rows of every slot are summed; a small
-versioned map sends slots to shards. Rebalancing and growing edit the map, so only the records of moved slots move.
-The map and the sums have SLOTS rows, whatever the input, and are handled on the driver.
+Each record is hashed into one of SLOTS virtual slots by (id, text). The bytes and rows of every slot are summed; a small
+versioned map sends slots to shards. All versions of the map are stored; the last one is read, edited and stored under the
+next version, so only the records of moved slots move. The map and the sums have SLOTS rows, whatever the input, and are
+handled on the driver.
 
-Nulls: a null text has no bytes, a null id hashes like any other value. Repeated rows share a slot. Records are placed by
-(id, text), so rows with the same id but different texts may part. Extra columns are not read."""
+Equal rows would all share a slot. Where equal rows together outweigh HOT average slots, they are hashed once more with their
+position, so any number of them spreads evenly over all slots; equal rows are interchangeable.
+
+Nulls: a null text has no bytes, a null id hashes like any other value. Rows with the same id but different texts may part.
+Texts of any length are one record. An empty table gives an empty result. Extra columns are not read, so they cannot clash."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 8192
+from tidemark.session import cut, ensure_shared_dir
+
+SLOTS, HOT = 8192, 16
 
 
 @dataclass(frozen=True)
@@ -89,6 +96,30 @@ class SlotMap:
         return cls(found[0][2], found[0][3], tuple(r[1] for r in found))
 
 
+class MapStore:
+    """All versions of a map in one folder that every machine sees, each version written once."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.versions = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> MapStore:
+        """A store whose folder holds a map already."""
+        out = cls(spark, folder)
+        out.versions = spark.read.parquet(folder).agg(F.max("version")).first()[0]
+        return out
+
+    def append(self, slot_map: SlotMap) -> None:
+        if slot_map.version != self.versions + 1:
+            raise ValueError(f"version {slot_map.version} does not follow {self.versions}")
+        slot_map.frame(self.spark).coalesce(1).write.mode("append").partitionBy("version").parquet(self.folder)
+        self.versions += 1
+
+    def load(self, version: int | None = None) -> SlotMap:
+        return SlotMap.load(self.spark.read.parquet(self.folder), version or self.versions)
+
+
 def _lookup(values, at: str):
     """values[at], as an array literal that the optimizer folds."""
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), (F.col(at) + 1).cast("int"))
@@ -110,17 +141,49 @@ def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]
     return size, count
 
 
-def shard(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Rows with their shard and place in it, and the map that was used: the initial one rebalanced by bytes.
+def scattered(rows: DataFrame, size: list[int]) -> DataFrame:
+    """``rows`` (with their position, _row) with the records of heavy groups of equal rows hashed anew, by slot and position.
+    There are less than slots / HOT such groups."""
+    limit = HOT * sum(size) / len(size)
+    if not (heavy := [s for s, b in enumerate(size) if b > limit]):
+        return rows
+    same = ["virtual_slot", "doc_id", "text_crc32", "size"]
+    groups = rows.where(F.col("virtual_slot").isin(heavy)).groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_n") * F.col("size") > limit))
+    groups = cut(groups.select(*[F.col(c).alias(f"_{c}") for c in same]))
+    found = rows.join(F.broadcast(groups), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same], "left")
+    again = F.pmod(F.xxhash64("virtual_slot", "_row"), F.lit(len(size)))
+    return found.withColumn("virtual_slot", F.when(F.col("_virtual_slot").isNull(), F.col("virtual_slot")).otherwise(again)).select(*rows.columns)
+
+
+def shard(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS, store: MapStore | None = None) -> tuple[DataFrame, MapStore]:
+    """Rows with their shard and place in it, and the store with the map that was used as its last version.
 
+    The store's last map is read (a new store starts with slot mod shards), grown to ``n_shards`` if it has fewer, and rebalanced
+    by bytes; what changed is stored as the next version. ``shard_if_grown`` is a row's shard after one more shard is added.
     A row's place counts the rows of its shard's earlier slots and the rows before it in its own slot, so only single slots
     are sorted, each in its own task."""
-    rows = placed(docs, slots)
+    spark = docs.sparkSession
+    rows = cut(placed(docs, slots).withColumn("_row", F.monotonically_increasing_id()))  # some 40 bytes a row; texts are read once
     size, count = slot_sums(rows, slots)
-    slot_map = SlotMap.initial(n_shards, slots).rebalanced(size)
+    if (spread := scattered(rows, size)) is not rows:
+        rows, (size, count) = spread, slot_sums(spread, slots)
+    if store is None:
+        store = MapStore(spark, f"{ensure_shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
+    if not store.versions:
+        store.append(SlotMap.initial(n_shards, slots))
+    while (last := store.load()).n_shards < n_shards:
+        store.append(last.grown(size))
+    if last.n_shards > n_shards:
+        raise ValueError(f"the stored map has {last.n_shards} shards, more than {n_shards}")
+    if (edited := last.rebalanced(size)).shards != last.shards:
+        store.append(edited)
+    slot_map = store.load()
     base, filled = [0] * slots, [0] * n_shards
     for s, to in enumerate(slot_map.shards):
         base[s], filled[to] = filled[to], filled[to] + count[s]
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "_row")
     out = rows.withColumn("slot", F.row_number().over(inside) - 1 + _lookup(base, "virtual_slot")).withColumn("shard", _lookup(slot_map.shards, "virtual_slot").cast("int"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version")), slot_map
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot", F.lit(slot_map.version).alias("map_version"), _lookup(slot_map.grown(size).shards, "virtual_slot").cast("int").alias("shard_if_grown"),
+    ), store
