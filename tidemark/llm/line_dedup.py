@@ -1,17 +1,19 @@
-"""Reversible line dedup: exact reference tables with sharded cuckoo filters in front of them.
+"""Reversible line dedup: exact reference-count tables with sharded cuckoo filters in front of them.
 
 A line's key is the line without ASCII blanks at both ends, A-Z lower-cased; keys of MIN_CHARS code points or more count.
-The reference table holds one row per (key, document). Counts of documents are sums over it, so inserting and deleting
-documents adds and removes rows and nothing is ever lost: a key that falls below the limit comes back to all its texts.
-Keys that reach the limit ("hot" keys) are also put in cuckoo filters, one for each shard of the key space. The filters
-tell, while texts are read, which lines can be hot at all; only those few are looked up in the exact table, so a
-filter's false positives cost a look-up and change nothing. Cuckoo filters also allow deletion, so they follow the counts.
+A ``LineIndex`` keeps the references, one row for each (key, document), the counts, (key, n_docs, keeper) with the largest id
+that holds the key, the hot keys, those counted in MIN_DOCS documents or more, and a cuckoo filter of the hot keys for each shard of the key
+space. ``insert`` and ``delete`` count only the keys of the changed documents anew, and add the keys that reach the limit to
+the kept filters and remove those that fall below it. So nothing is ever lost: a key that falls below comes back to all its texts.
 
-Filters are sent to the executors only while all of them together take at most FILTER_BYTES, measured from the number of
-hot keys; beyond that every counted line is looked up, with the same result.
+The filters tell, while texts are read, which lines can be hot at all; only those few are looked up in the exact table, so a
+filter's false positives cost a look-up and change nothing. They are sent to the executors only while all of them together
+take at most FILTER_BYTES, measured; beyond that every counted line is looked up, with the same result.
 
 Null and empty texts are one empty line. Lines repeat within a document without counting twice. Ids that repeat are one
-document for counting. Rows with a null id count for nothing and lose lines like any other that is not the largest id."""
+document for counting. Rows with a null id count for nothing and lose lines like any other that is not the largest id. Texts
+of any length are taken whole; equal rows are treated alike and an empty table gives an empty result. Columns other than id and
+text are not read, so they cannot clash; ``without_hot_lines`` hands them on."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BLANKS, by_batch, free_names, id_and_text, raw_texts
@@ -127,21 +129,9 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return by_batch(id_and_text(docs).where("doc_id is not null"), run, "key binary, doc_id long")
 
 
-def insert(table: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference table after ``docs`` are added. Documents it knows already are added once."""
-    return table.unionByName(references(docs)).distinct()
-
-
-def delete(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """The reference table after the documents in ``ids`` (doc_id) are deleted."""
-    return table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id")
-
-
-def hot_keys(table: DataFrame, min_docs: int = MIN_DOCS, unique: bool = False) -> DataFrame:
-    """(key, n_docs, keeper): keys found in at least ``min_docs`` documents and the largest id that holds them. Partial counts
-    are made before the shuffle. ``unique``: the table has no repeated rows."""
-    rows = table if unique else table.distinct()
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+def tally(table: DataFrame) -> DataFrame:
+    """(key, n_docs, keeper) of references. Partial counts are made before the shuffle."""
+    return table.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
 def filters(hot: DataFrame, shards: int) -> DataFrame:
@@ -150,50 +140,137 @@ def filters(hot: DataFrame, shards: int) -> DataFrame:
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([CuckooFilter.of(sorted(table.column("key").to_pylist())).to_bytes()], pa.binary())], names=["shard", "filter"])
 
-    low = F.conv(_little(), 16, 10).cast("long")
-    return hot.select(F.pmod(low, F.lit(shards)).alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard long, filter binary")
+    return hot.select(_shard(shards).alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard long, filter binary")
+
+
+def _shard(shards: int):
+    """Bytes 10 to 13 of the key as a little-endian number, modulo ``shards``."""
+    digits = F.concat(*[F.hex(F.substring("key", i, 1)) for i in (14, 13, 12, 11)])
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(shards))
+
+
+def edited_filters(kept: DataFrame, edits: DataFrame, hot: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter) after keys came (up) or went: ``edits`` has (key, up). A filter that is too full for its new keys is built
+    anew from the shard's hot keys."""
+    lists = [F.collect_list(F.when(F.col("up") == up, F.col("key"))).alias(name) for up, name in ((True, "came"), (False, "went"))]
+    marked = edits.select(_shard(shards).alias("shard"), "key", "up").groupBy("shard").agg(*lists)  # about SHARD_KEYS at most
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for data, came, went in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            sieve = CuckooFilter.from_bytes(data) if data else CuckooFilter()
+            gone = all([sieve.remove(k) for k in went or ()])
+            out.append(sieve.to_bytes() if gone and all(sieve.add(k) for k in came or ()) else None)
+        return pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["shard", "filter"])
+
+    touched = cut(by_batch(marked.join(kept, "shard", "left").select("shard", "filter", "came", "went"), run, "shard long, filter binary"))
+    full = touched.where("filter is null").select(F.col("shard").alias("_shard"))
+    rebuilt = filters(hot.join(full, _shard(shards) == F.col("_shard"), "left_semi"), shards)
+    rest = kept.join(touched.select("shard"), "shard", "left_anti")
+    return cut(rest.unionByName(touched.where("filter is not null")).unionByName(rebuilt))
+
 
+class LineIndex:
+    """The tables of the docstring above. Each edit gives a new index; tables that an edit does not touch are shared. References
+    and counts that are only read through are computed when an edit or ``save`` first needs them."""
 
-def _little():
-    """Bytes 10 to 13 of the key as hexadecimal digits of a little-endian number."""
-    return F.concat(*[F.hex(F.substring("key", i, 1)) for i in (14, 13, 12, 11)])
+    COMPACT = 8  # edits after which references and counts are stored as one table each
 
+    def __init__(self, references: DataFrame, counts: DataFrame, hot: DataFrame, filters: DataFrame, shards: int, min_chars: int, min_docs: int, edits: int | None = None) -> None:
+        self.references, self.counts, self.hot, self.filters = references, counts, hot, filters
+        self.shards, self.min_chars, self.min_docs, self.edits = shards, min_chars, min_docs, edits
 
-def _suspects(docs: DataFrame, parts: dict[int, bytes], shards: int, min_chars: int) -> DataFrame:
-    """(key, doc_id) of the lines that pass the filters."""
+    @classmethod
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+        table = references(docs, min_chars)
+        counts = tally(table)
+        hot = cut(counts.where(F.col("n_docs") >= min_docs))
+        shards = max(1, hot.count() // SHARD_KEYS)
+        return cls(table, counts, hot, filters(hot, shards), shards, min_chars, min_docs)
+
+    def _stored(self) -> LineIndex:
+        if self.edits is None or self.edits >= self.COMPACT:
+            table = cut(self.references.distinct())
+            counts = cut(tally(table)) if self.edits is None else cut(self.counts)
+            return LineIndex(table, counts, self.hot, cut(self.filters), self.shards, self.min_chars, self.min_docs, 0)
+        return self
+
+    def _changed(self, table: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index with these references, of which only those of the ``touched`` keys differ."""
+        anew = cut(tally(table.join(touched, "key", "left_semi")))
+        is_hot = anew.where(F.col("n_docs") >= self.min_docs)
+        was_hot = self.hot.join(touched, "key", "left_semi").select("key")
+        came = is_hot.select("key").join(was_hot, "key", "left_anti").withColumn("up", F.lit(True))
+        went = was_hot.join(is_hot.select("key"), "key", "left_anti").withColumn("up", F.lit(False))
+        hot = cut(self.hot.join(touched, "key", "left_anti").unionByName(is_hot))
+        counts = self.counts.join(touched, "key", "left_anti").unionByName(anew)
+        sieves = edited_filters(self.filters, came.unionByName(went), hot, self.shards)
+        return LineIndex(table, counts, hot, sieves, self.shards, self.min_chars, self.min_docs, self.edits + 1)
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """After ``docs`` are added. Lines of documents that are known already are added once."""
+        old = self._stored()
+        new = cut(references(docs, self.min_chars).distinct().join(old.references, ["key", "doc_id"], "left_anti"))
+        return old._changed(old.references.unionByName(new), cut(new.select("key").distinct()))
+
+    def delete(self, ids: DataFrame) -> LineIndex:
+        """After the documents in ``ids`` (doc_id) are deleted."""
+        old, ids = self._stored(), cut(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+        touched = cut(old.references.join(ids, "doc_id", "left_semi").select("key").distinct())
+        return old._changed(old.references.join(ids, "doc_id", "left_anti").select("key", "doc_id"), touched)
+
+    def save(self, folder: str) -> None:
+        """As Parquet tables in a new folder that all machines see."""
+        kept = self._stored()
+        for name in ("references", "counts", "hot", "filters"):
+            getattr(kept, name).write.parquet(f"{folder}/{name}")
+        kept.hot.sparkSession.createDataFrame([(self.shards, self.min_chars, self.min_docs)], "shards int, min_chars int, min_docs int").write.parquet(f"{folder}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LineIndex:
+        tables = [spark.read.parquet(f"{folder}/{name}") for name in ("references", "counts", "hot", "filters")]
+        return cls(*tables, *spark.read.parquet(f"{folder}/settings").first(), edits=0)
+
+    def doomed(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, text_hash, keys): the keys whose lines each document loses; documents that lose none are left out. Rows with
+        the same id but other texts are told apart by the hash, so a list holds the lines of one text."""
+        texts = _hashed(id_and_text(docs))
+        parts = None
+        if self.hot.count() * 2 <= FILTER_BYTES and (self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+            parts = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
+        found = _suspects(texts, parts, self.shards, self.min_chars)
+        lost = found.join(self.hot.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
+
+
+def _hashed(texts: DataFrame, name: str = "text_hash") -> DataFrame:
+    return texts.withColumn(name, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _suspects(texts: DataFrame, parts: dict[int, bytes] | None, shards: int, min_chars: int) -> DataFrame:
+    """(key, doc_id, text_hash) of the counted lines; with filters, of those that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves = {s: CuckooFilter.from_bytes(b) for s, b in parts.items()}
+        sieves = {s: CuckooFilter.from_bytes(b) for s, b in (parts or {}).items()}
         seen: dict[bytes, bool] = {}
         for batch in batches:
-            keys, ids = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            keys, at = [], []
+            for i, text in enumerate(raw_texts(batch.column(1))):
                 for key in {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}:
-                    if (passes := seen.get(key)) is None:
+                    if parts is None:
+                        passes = True
+                    elif (passes := seen.get(key)) is None:
                         sieve = sieves.get(shard_of(key, shards))
                         passes = sieve is not None and key in sieve
                         if len(seen) < 200_000:
                             seen[key] = passes
                     if passes:
                         keys.append(key)
-                        ids.append(doc)
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
-
-    return docs.mapInArrow(run, "key binary, doc_id long")
+                        at.append(i)
+            rows = pa.array(at, pa.int64())
+            yield pa.record_batch([pa.array(keys, pa.binary()), batch.column(0).take(rows), batch.column(2).take(rows)], names=["key", "doc_id", "text_hash"])
 
-
-def doomed(docs: DataFrame, hot: DataFrame, min_chars: int = MIN_CHARS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(doc_id, keys): the keys whose lines each document loses; documents that lose none are left out."""
-    texts = id_and_text(docs)
-    n = hot.count()
-    if n * 5 <= filter_bytes:  # a key takes 2 to 5 bytes of a filter
-        shards = max(1, n // SHARD_KEYS)
-        parts = {r["shard"]: bytes(r["filter"]) for r in filters(hot, shards).collect()}
-        found = _suspects(texts, parts, shards, min_chars)
-    else:
-        found = references(texts, min_chars)
-    lost = found.join(hot.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most the lines of one document
+    return texts.mapInArrow(run, "key binary, doc_id long, text_hash long")
 
 
 def strip_lines(text: bytes, keys: list[bytes] | None, min_chars: int = MIN_CHARS) -> tuple[bytes, int, int]:
@@ -205,17 +282,13 @@ def strip_lines(text: bytes, keys: list[bytes] | None, min_chars: int = MIN_CHAR
     return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Reference counts of a whole corpus at once: ``hot_keys`` of the table that ``references`` would make of it, stored."""
-    return cut(hot_keys(references(docs, min_chars), min_docs, unique=False))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text) for each row of ``docs``. ``hot``: hot keys of an index kept so far; without
-    it they are counted in ``docs``."""
-    hot = hot_lines(docs, min_chars, min_docs) if hot is None else hot
-    lost = doomed(docs, hot, min_chars).withColumnRenamed("doc_id", "_id")
-    joined = id_and_text(docs).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "keys")
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) for each row of ``docs``. Without an index kept so far, one of ``docs`` is built."""
+    index = index or LineIndex.build(docs, min_chars, min_docs)
+    min_chars = index.min_chars
+    lost = index.doomed(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    texts = _hashed(id_and_text(docs))
+    joined = texts.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "keys")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [strip_lines(t, k, min_chars) for t, k in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
@@ -228,10 +301,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 def without_hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows and columns of ``docs`` with the remaining text; ``n_chars``, if there, is counted anew. Untouched texts,
     null ones included, stay as they are."""
-    lost = doomed(docs, hot_lines(docs, min_chars, min_docs), min_chars)
-    own, gone = free_names(docs, "_id", "_keys")
-    lost = lost.withColumnsRenamed({"doc_id": own, "keys": gone})
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[own]), "left")
+    lost = LineIndex.build(docs, min_chars, min_docs).doomed(docs)
+    own, gone, mark = free_names(docs, "_id", "_keys", "_hash")
+    lost = lost.withColumnsRenamed({"doc_id": own, "keys": gone, "text_hash": f"{mark}2"})
+    hashed = _hashed(docs, mark)
+    joined = hashed.join(lost, hashed["doc_id"].cast("long").eqNullSafe(lost[own]) & (hashed[mark] == lost[f"{mark}2"]), "left")
     names = docs.columns
     at = names.index("text")
 
@@ -248,4 +322,4 @@ def without_hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 columns[names.index("n_chars")] = pc.coalesce(count, batch.column(names.index("n_chars")))
         return pa.record_batch(columns, names=names)
 
-    return by_batch(joined.select(*[docs[c] for c in names], gone), run, docs.schema)
+    return by_batch(joined.select(*[hashed[c] for c in names], gone), run, docs.schema)
