@@ -1,0 +1,67 @@
+"""Rules over text, and streams that go on after a restart."""
+
+import pytest
+
+from tidemark.functions.terms import Atom, Body, rule, search, variables
+from tidemark.operators.saturate import saturate
+from tidemark.operators.relation import Relation
+from tidemark.streaming.session import Deduction
+
+
+def transitive():
+    x, y, z = variables("x y z")
+    return rule(Atom("dr", x, z), Atom("dr", x, y), Atom("dr", y, z))
+
+
+def pairs(relation):
+    return sorted(map(tuple, relation.named("a", "b").collect()))
+
+
+def test_text_reaches_new_predicates(spark):
+    x, y, z = variables("x y z")
+    rules = [rule(Atom("above", x, z), Atom("under", z, x)), rule(Atom("above", x, z), Atom("above", x, y), Atom("above", y, z)), rule(Atom("top", "sky"), Atom("above", x, y)), rule(Atom("none", x), Atom("never", x), Atom("above", x, y))]
+    found = saturate(spark, rules, {"under": Relation.literal(spark, 2, [("a", "b"), ("b", "c")]), "never": Relation.literal(spark, 1, [("z",)])})
+    assert pairs(found["above"]) == [("b", "a"), ("c", "a"), ("c", "b")] and [r[0] for r in found["top"].named("t").collect()] == ["sky"]
+    assert found["none"].df.count() == 0
+
+
+def test_text_over_epochs(spark):
+    x, y = variables("x y")
+    s = search(Body([x, y], [Atom("dr", x, y)]), [Atom("blocked", x)])
+    session = Deduction(spark, [transitive()], [s])
+    session.advance(0)
+    session.insert("dr", [("a", "b"), ("b", "c")])
+    session.advance(1)
+    assert pairs(session.facts("dr")) == [("a", "b"), ("a", "c"), ("b", "c")] and session.candidates()[s].df.count() == 3
+    session.insert("blocked", [("a",)])
+    session.remove("dr", [("b", "c")])
+    session.advance(2)
+    assert pairs(session.facts("dr")) == [("a", "b")] and session.candidates()[s].df.count() == 0
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path, text):
+    name = (lambda n: f"n{n}") if text else (lambda n: n)
+    schema = f"predicate string, args array<{'string' if text else 'long'}>, diff long"
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+
+    def deliver(*rows):
+        spark.createDataFrame([("dr", [name(a), name(b)], w) for a, b, w in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def go_on():
+        session, seen = Deduction(spark, [transitive()]), []
+        query = session.stream(spark.readStream.schema(schema).parquet(source), after=lambda s, e: seen.append(e), checkpointLocation=check)
+        query.processAllAvailable()
+        query.stop()
+        return session, seen
+
+    deliver((1, 2, 1), (2, 3, 1))
+    session, seen = go_on()
+    assert seen == [0] and len(pairs(session.facts("dr"))) == 3
+    deliver((3, 4, 1))
+    session, seen = go_on()
+    assert seen == [1] and pairs(session.facts("dr")) == [(name(a), name(b)) for a in (1, 2, 3) for b in range(a + 1, 5)]
+    deliver((2, 3, -1))
+    session, seen = go_on()
+    assert seen == [2] and pairs(session.facts("dr")) == [(name(1), name(2)), (name(3), name(4))]
+    assert go_on()[1] == [] and pairs(go_on()[0].facts("dr")) == [(name(1), name(2)), (name(3), name(4))]

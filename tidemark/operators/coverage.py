@@ -26,26 +26,48 @@ class Reduction(enum.Enum):
     GREEDY = "minimal, in any order"
 
 
-def _states(choices: DataFrame, spark: SparkSession, regions: DataFrame | None) -> DataFrame:
-    """(state): sorted arrays of the true atoms. ``regions``: (atoms); states that hold one are left out."""
-    declared = [sorted(set(r["atoms"])) for r in choices.groupBy("choice_id").agg(F.collect_set("atom").alias("atoms")).orderBy("choice_id").collect()]
-    states, seen = spark.range(1).select(F.array().cast("array<string>").alias("state")), []
+MOST_ATOMS = 1_000_000  # of all choices together; they are declared constraints and travel with the plan
+
+
+def _states(choices: DataFrame, spark: SparkSession, regions: DataFrame | None, given: Sequence = ()) -> DataFrame:
+    """(state): sorted arrays of the true atoms. ``regions``: (atoms); states that hold one are left out, as soon as their last atom
+    comes in. States without an atom of ``given`` that a choice has are not made. A choice without atoms leaves no state."""
+    kind = choices.schema["atom"].dataType.simpleString()
+    rows = choices.groupBy("choice_id").agg(F.array_sort(F.collect_set("atom")).alias("atoms")).orderBy("choice_id").limit(MOST_ATOMS + 1).collect()
+    if sum(max(1, len(r["atoms"])) for r in rows) > MOST_ATOMS:
+        raise RuleError(f"the choices have more than {MOST_ATOMS} atoms")
+    declared = sorted((r["atoms"] for r in rows), key=len)  # small choices first: fewer partial states
+    states, seen = spark.range(1).select(F.array().cast(f"array<{kind}>").alias("state")), []
+    if regions is not None:
+        none = regions.where(F.size("atoms") == 0).limit(1)
+        states = states.join(none, F.lit(True), "left_anti")
+        by_atom = regions.select("atoms", F.explode("atoms").alias("key"))
     for atoms in declared:
+        wanted = [a for a in atoms if a in given] or atoms
+        options = spark.createDataFrame([(a,) for a in wanted], f"atom {kind}")
+        states = states.crossJoin(F.broadcast(options)).select("atom", F.array_sort(F.array_distinct(F.array_append("state", F.col("atom")))).alias("state"))
+        # an atom may stand in several choices: each needs exactly one
+        shared = [c for c in (*seen, atoms) if len(seen) and any(set(c) & set(d) for d in (*seen, atoms) if d is not c)]
         seen.append(atoms)
-        options = spark.createDataFrame([(a,) for a in atoms], "atom string")
-        states = states.crossJoin(F.broadcast(options)).select(F.array_sort(F.array_distinct(F.array_append("state", F.col("atom")))).alias("state"))
-        states = states.where(" AND ".join(f"size(array_intersect(state, array({', '.join(map(_quote, c))}))) = 1" for c in seen)).distinct()
+        for c in shared:
+            states = states.where(F.size(F.array_intersect("state", F.array(*map(F.lit, c)).cast(f"array<{kind}>"))) == 1)
         if regions is not None:
-            states = states.join(regions, F.size(F.array_except("atoms", "state")) == 0, "left_anti")
+            states = states.join(by_atom, (F.col("atom") == F.col("key")) & (F.size(F.array_except("atoms", "state")) == 0), "left_anti")
+        states = states.select("state").distinct() if shared else states.select("state")
     return states
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def region_arrays(nogoods: DataFrame) -> DataFrame:
+    """(atoms) of each region once. A region whose only row has a null atom is the empty one, which covers everything."""
+    return nogoods.groupBy("region_id").agg(F.collect_set("atom").alias("atoms")).select(F.array_sort("atoms").alias("atoms")).distinct()
 
 
-def region_arrays(nogoods: DataFrame) -> DataFrame:
-    return nogoods.groupBy("region_id").agg(F.collect_set("atom").alias("atoms")).select("atoms").distinct()
+def _rarest(regions: DataFrame) -> DataFrame:
+    """(atoms, key): each region with the atom of it that the fewest regions have; null for the empty region."""
+    each = regions.select("atoms", F.explode_outer("atoms").alias("atom"))
+    count = each.groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(count.withColumnRenamed("atom", "_atom"), F.col("atom").eqNullSafe(F.col("_atom")))
+    return counted.groupBy("atoms").agg(F.min(F.struct("n", "atom")).alias("least")).select("atoms", F.col("least.atom").alias("key"))
 
 
 def gaps(spark: SparkSession, choices: DataFrame, nogoods: DataFrame) -> DataFrame:
@@ -55,24 +77,29 @@ def gaps(spark: SparkSession, choices: DataFrame, nogoods: DataFrame) -> DataFra
 
 def overlaps(spark: SparkSession, choices: DataFrame, nogoods: DataFrame, assignment: Sequence[str]) -> DataFrame:
     """(state): the covered states in which all atoms of the assignment are true; none if it is clear of all regions."""
-    given = F.array(*map(F.lit, assignment)).cast("array<string>") if assignment else F.array().cast("array<string>")
-    states = _states(choices, spark, None).where(F.size(F.array_except(given, F.col("state"))) == 0)
-    return states.join(region_arrays(nogoods), F.size(F.array_except("atoms", "state")) == 0, "left_semi")
+    kind = choices.schema["atom"].dataType.simpleString()
+    given = F.array(*map(F.lit, assignment)).cast(f"array<{kind}>") if assignment else F.array().cast(f"array<{kind}>")
+    states = _states(choices, spark, None, assignment).where(F.size(F.array_except(given, F.col("state"))) == 0)
+    keyed = states.select("state", F.explode(F.concat("state", F.array(F.lit(None).cast(kind)))).alias("atom"))
+    inside = F.col("atom").eqNullSafe(F.col("key")) & (F.size(F.array_except("atoms", "state")) == 0)
+    return keyed.join(_rarest(region_arrays(nogoods)), inside, "left_semi").select("state").distinct()
 
 
 class Coverage:
     """Choices and regions declared one by one. ``positive``: answers list the true atoms only and every atom of a region must
-    occur in a choice; otherwise answers are (atom, truth) pairs and atoms outside all choices are free."""
+    occur in a choice; otherwise answers are (atom, truth) pairs and atoms outside all choices are free.
+
+    A search that takes more than ``budget`` decisions raises RuleError."""
 
-    def __init__(self, positive: bool = True) -> None:
-        self.positive = positive
-        self.choices: list[frozenset[str]] = []
-        self.regions: list[frozenset[str]] = []
-        self.atoms: dict[str, int] = {}  # in the order they were first mentioned
+    def __init__(self, positive: bool = True, budget: int | None = None) -> None:
+        self.positive, self.budget = positive, budget  # budget: decisions of one search, after which it gives up
+        self.choices: list[frozenset] = []
+        self.regions: list[frozenset] = []
+        self.atoms: dict = {}  # any hashable values, in the order they were first mentioned
 
-    def _mention(self, atoms: Iterable[str]) -> frozenset[str]:
+    def _mention(self, atoms: Iterable) -> frozenset:
         atoms = list(atoms)
-        for a in sorted(atoms):
+        for a in sorted(atoms, key=lambda a: (type(a).__name__, a if isinstance(a, (int, str)) else repr(a))):
             self.atoms.setdefault(a, len(self.atoms))
         return frozenset(atoms)
 
@@ -97,33 +124,84 @@ class Coverage:
             return None
         return self._extend(given, self.regions)
 
-    def _extend(self, state: dict[str, bool], blocked: Sequence[frozenset[str]]) -> dict[str, bool] | None:
-        state, moved = dict(state), True
-        while moved:
-            moved = False
-            for choice in self.choices:
-                true = [a for a in choice if state.get(a)]
-                free = [a for a in choice if a not in state]
-                if len(true) > 1 or not true and not free:
+    def _extend(self, given: dict, blocked: Sequence[frozenset]) -> dict | None:
+        """A state that extends ``given``, with one true atom a choice and no region of ``blocked`` in it; None if there is none.
+        Counts of each choice and region are kept up to date, so a step costs what it touches; the search keeps its own stack."""
+        if any(not c for c in self.choices) or any(not r for r in blocked):
+            return None
+        names = [*self.atoms, *(a for a in given if a not in self.atoms)]
+        number = {a: i for i, a in enumerate(names)}
+        choices, regions = ([[number[a] for a in s] for s in sets] for sets in (self.choices, blocked))
+        in_choice, in_region = [[] for _ in names], [[] for _ in names]
+        for found, sets in ((in_choice, choices), (in_region, regions)):
+            for k, s in enumerate(sets):
+                for a in s:
+                    found[a].append(k)
+        state: list[bool | None] = [None] * len(names)
+        true, free, away, open_ = [0] * len(choices), [len(c) for c in choices], [0] * len(regions), [len(r) for r in regions]
+        trail: list[int] = []
+
+        def put(atom: int, value: bool) -> bool:
+            """Sets an atom and all that follows from it; False if that contradicts itself."""
+            todo = [(atom, value)]
+            while todo:
+                a, v = todo.pop()
+                if state[a] is not None:
+                    if state[a] != v:
+                        return False
+                    continue
+                state[a] = v
+                trail.append(a)
+                for k in in_choice[a]:
+                    free[k] -= 1
+                    true[k] += v
+                for k in in_region[a]:
+                    open_[k] -= 1
+                    away[k] += not v
+                for k in in_choice[a]:
+                    if true[k] > 1 or not true[k] and not free[k]:
+                        return False
+                    if free[k] and (v or free[k] == 1 and not true[k]):
+                        todo += [(x, not true[k]) for x in choices[k] if state[x] is None]
+                for k in in_region[a]:
+                    if not away[k] and open_[k] < 2:
+                        if not open_[k]:
+                            return False
+                        todo += [(x, False) for x in regions[k] if state[x] is None]
+            return True
+
+        def back(length: int) -> None:
+            while len(trail) > length:
+                a = trail.pop()
+                for k in in_choice[a]:
+                    free[k] += 1
+                    true[k] -= state[a]
+                for k in in_region[a]:
+                    open_[k] += 1
+                    away[k] -= not state[a]
+                state[a] = None
+
+        alone = [(x, True) for c in choices if len(c) == 1 for x in c] + [(x, False) for r in regions if len(r) == 1 for x in r]
+        if not all(put(a, v) for a, v in [*((number[a], v) for a, v in given.items()), *alone]):
+            return None
+        stack: list[tuple[int, int, int]] = []  # length of the trail before a decision, its atom, the next atom to look at
+        at = steps = 0
+        while True:
+            while at < len(names) and state[at] is not None:
+                at += 1
+            if at == len(names):
+                return dict(zip(names, state, strict=True))
+            steps += 1
+            if self.budget is not None and steps > self.budget:
+                raise RuleError("conflict checking timed out")
+            stack.append((len(trail), at, at + 1))
+            fits = put(at, False)
+            while not fits:
+                if not stack:
                     return None
-                if free and (true or len(free) == 1):
-                    state.update(dict.fromkeys(free, not true))
-                    moved = True
-            for region in blocked:
-                free = [a for a in region if a not in state]
-                if all(state[a] for a in region if a in state):
-                    if not free:
-                        return None
-                    if len(free) == 1:
-                        state[free[0]] = False
-                        moved = True
-        free = next((a for a in self.atoms if a not in state), None)
-        if free is None:
-            return state
-        for value in (False, True):
-            if (found := self._extend(state | {free: value}, blocked)) is not None:
-                return found
-        return None
+                length, atom, at = stack.pop()
+                back(length)
+                fits = put(atom, True)  # the decision was false; now the other value holds at this depth
 
     def _core(self, given: dict[str, bool]) -> dict[str, bool]:
         """Assumptions that some region's refutation uses: all that are needed to keep every region away. An atom of a region is
@@ -168,7 +246,7 @@ class Coverage:
             return []
         given = {}
         for item in assignment:
-            atom, value = (item, True) if isinstance(item, str) else item
+            atom, value = (item, True) if self.positive or isinstance(item, str) or item in self.atoms else item
             if atom not in self.atoms:
                 log.warning("atom %s was never mentioned; it is skipped", atom)
                 self._mention([atom])
@@ -179,6 +257,8 @@ class Coverage:
         return self._answer(self._reduce(given, policy))
 
     def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        """The declared choices and regions as tables for ``gaps`` and ``overlaps``."""
-        rows = lambda sets: [(i, a) for i, s in enumerate(sets) for a in sorted(s)]
-        return spark.createDataFrame(rows(self.choices), "choice_id long, atom string"), spark.createDataFrame(rows(self.regions), "region_id long, atom string")
+        """The declared choices and regions as tables for ``gaps`` and ``overlaps``; an empty one is a row with a null atom."""
+        kind = "long" if self.atoms and all(isinstance(a, int) for a in self.atoms) else "string"
+        value = (lambda a: a) if kind == "long" else (lambda a: a if isinstance(a, str) else repr(a))
+        rows = lambda sets: [(i, a) for i, s in enumerate(sets) for a in (sorted(map(value, s)) or [None])]
+        return spark.createDataFrame(rows(self.choices), f"choice_id long, atom {kind}"), spark.createDataFrame(rows(self.regions), f"region_id long, atom {kind}")

@@ -51,17 +51,21 @@ class Relation:
         return cls(len(names), out if names else out.select(F.lit(1).cast("long").alias(MARK), *([WEIGHT] if signed else [])))
 
     @classmethod
-    def literal(cls, spark: SparkSession, arity: int, rows: Iterable[Sequence], signed: bool = False) -> Relation:
-        """In-memory facts; a signed row ends with its multiplicity."""
+    def literal(cls, spark: SparkSession, arity: int, rows: Iterable[Sequence], signed: bool = False, kinds: Sequence[T.DataType] | None = None) -> Relation:
+        """In-memory facts; a signed row ends with its multiplicity. ``kinds``: column types, taken from the first row if not given."""
         rows = [tuple(r) for r in rows]
-        kinds = [T.StringType() if rows and isinstance(rows[0][i], str) else T.LongType() for i in range(arity)]
+        kinds = list(kinds) if kinds is not None else [T.StringType() if rows and isinstance(rows[0][i], str) else T.LongType() for i in range(arity)]
         fields = [T.StructField(f"_{i}", k) for i, k in enumerate(kinds)] or [T.StructField(MARK, T.LongType())]
         data = [((1, *r) if not arity else r) for r in rows]
         return cls(arity, spark.createDataFrame(data, T.StructType(fields + [T.StructField(WEIGHT, T.LongType())] * signed)))
 
     @classmethod
-    def empty(cls, spark: SparkSession, arity: int) -> Relation:
-        return cls.literal(spark, arity, [])
+    def empty(cls, spark: SparkSession, arity: int, kinds: Sequence[T.DataType] | None = None) -> Relation:
+        return cls.literal(spark, arity, [], kinds=kinds)
+
+    @property
+    def kinds(self) -> list[T.DataType]:
+        return [self.df.schema[c].dataType for c in columns_of(self.shape)] if self.shape else []
 
     def with_df(self, df: DataFrame) -> Relation:
         return Relation(self.shape, df)

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import gadgets
 from tidemark.functions.terms import Atom, Body, Rule, Search, Var, rule, search, variables
 from tidemark.operators.candidates import candidates
-from tidemark.operators.coverage import gaps, overlaps
+from tidemark.operators.coverage import Coverage, Reduction, gaps, overlaps
 from tidemark.operators.lower import instantiate_head, lower
 from tidemark.operators.relation import MARK, Relation
 from tidemark.operators.saturate import saturate
-from tidemark.operators.sinks import Sink
+from tidemark.operators.sinks import Sink, sink_all
 from tidemark.operators.skolem import skolemize
 from tidemark.plans.ir import antijoin, natural_join, project, scan
 from tidemark.plans.planner import plan_body
@@ -24,8 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _HOP = """hop AS (SELECT DISTINCT CAST(x.l_suppkey AS BIGINT) AS a, CAST(y.l_suppkey AS BIGINT) AS b FROM lineitem x JOIN lineitem y
-  ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_orderkey < 60)"""
-_HOP_WHOLE = """hop AS (SELECT DISTINCT CAST(x.l_suppkey AS BIGINT) AS a, CAST(y.l_suppkey AS BIGINT) AS b FROM lineitem x JOIN lineitem y
   ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"""
 _CLOSURE = f"WITH RECURSIVE {_HOP}, r(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, hop.b FROM r JOIN hop ON r.b = hop.a)"
 
@@ -39,21 +38,6 @@ def _query(sql: str):
     return register
 
 
-def _hop_query(sql: str):
-    """Registers the query over the orders that its SQL names, and as ``..._whole`` over all of lineitem."""
-
-    def register(f):
-        def whole(spark: SparkSession, sf: str) -> DataFrame:
-            return f(spark, sf, None)
-
-        whole.__name__ = f"{f.__name__}_whole"
-        _query(sql)(f)
-        _query(sql.replace(_HOP, _HOP_WHOLE))(whole)
-        return f
-
-    return register
-
-
 def _holds(relation: Relation) -> DataFrame:
     return relation.df.select(F.col(MARK).alias("holds"))
 
@@ -68,10 +52,10 @@ def filter_const(spark, sf):
     return lower(scan(Atom("item", o, p, 7)), Tables(spark, sf).all("item"), spark).named()
 
 
-@_hop_query(f"WITH {_HOP} SELECT a AS x FROM hop WHERE a = b")
-def filter_repeat(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT a AS x FROM hop WHERE a = b")
+def filter_repeat(spark, sf):
     (x,) = variables("x")
-    return lower(scan(Atom("hop", x, x)), {"hop": Tables(spark, sf).hop(below)}, spark).named()
+    return lower(scan(Atom("hop", x, x)), {"hop": Tables(spark, sf).hop()}, spark).named()
 
 
 @_query("SELECT CAST(l_suppkey AS BIGINT) AS s FROM lineitem")
@@ -128,52 +112,52 @@ def _transitive(into: str = "hop", start: str = "hop") -> Rule:
     return rule(Atom(into, x, z), Atom(start, x, y), Atom(start, y, z))
 
 
-@_hop_query(f"{_CLOSURE} SELECT a, b FROM r")
-def hop_closure(spark, sf, below=60):
-    return saturate(spark, [_transitive()], {"hop": Tables(spark, sf).hop(below)})["hop"].named("a", "b")
+@_query(f"{_CLOSURE} SELECT a, b FROM r")
+def hop_closure(spark, sf):
+    return saturate(spark, [_transitive()], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
 
 
-@_hop_query(f"""WITH RECURSIVE {_HOP}, both_ways AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop),
+@_query(f"""WITH RECURSIVE {_HOP}, both_ways AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop),
   r(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a) SELECT a, b FROM r""")
-def hop_closure_sym(spark, sf, below=60):
+def hop_closure_sym(spark, sf):
     x, y = variables("x y")
-    return saturate(spark, [_transitive(), rule(Atom("hop", y, x), Atom("hop", x, y))], {"hop": Tables(spark, sf).hop(below)})["hop"].named("a", "b")
+    return saturate(spark, [_transitive(), rule(Atom("hop", y, x), Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["hop"].named("a", "b")
 
 
-@_hop_query(f"WITH {_HOP} SELECT DISTINCT x.a, y.b FROM hop x JOIN hop y ON x.b = y.a")
-def hop_two(spark, sf, below=60):
-    return saturate(spark, [_transitive("two")], {"hop": Tables(spark, sf).hop(below)})["two"].named("a", "b")
+@_query(f"WITH {_HOP} SELECT DISTINCT x.a, y.b FROM hop x JOIN hop y ON x.b = y.a")
+def hop_two(spark, sf):
+    return saturate(spark, [_transitive("two")], {"hop": Tables(spark, sf).hop()})["two"].named("a", "b")
 
 
-@_hop_query(f"""WITH RECURSIVE {_HOP}, odd(a, b, k) AS (SELECT a, b, 1 FROM hop UNION SELECT o.a, hop.b, 1 - o.k FROM odd o JOIN hop ON o.b = hop.a)
+@_query(f"""WITH RECURSIVE {_HOP}, odd(a, b, k) AS (SELECT a, b, 1 FROM hop UNION SELECT o.a, hop.b, 1 - o.k FROM odd o JOIN hop ON o.b = hop.a)
   SELECT DISTINCT a, b, CAST(k AS BIGINT) AS k FROM odd""")
-def mutual_recursion(spark, sf, below=60):
+def mutual_recursion(spark, sf):
     """Pairs joined by an odd walk (k = 1) and by an even one (k = 0): two predicates that need each other."""
     x, y, z = variables("x y z")
     rules = [rule(Atom("odd", x, y), Atom("hop", x, y)), rule(Atom("even", x, z), Atom("odd", x, y), Atom("hop", y, z)), rule(Atom("odd", x, z), Atom("even", x, y), Atom("hop", y, z))]
-    found = saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})
+    found = saturate(spark, rules, {"hop": Tables(spark, sf).hop()})
     return found["odd"].named("a", "b").withColumn("k", F.lit(1).cast("long")).unionByName(found["even"].named("a", "b").withColumn("k", F.lit(0).cast("long")))
 
 
-@_hop_query(f"WITH {_HOP} SELECT DISTINCT a AS node FROM (SELECT a FROM hop UNION ALL SELECT b FROM hop)")
-def several_heads(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT DISTINCT a AS node FROM (SELECT a FROM hop UNION ALL SELECT b FROM hop)")
+def several_heads(spark, sf):
     x, y = variables("x y")
-    return saturate(spark, [rule([Atom("node", x), Atom("node", y), Atom("back", y, x)], Atom("hop", x, y))], {"hop": Tables(spark, sf).hop(below)})["node"].named("node")
+    return saturate(spark, [rule([Atom("node", x), Atom("node", y), Atom("back", y, x)], Atom("hop", x, y))], {"hop": Tables(spark, sf).hop()})["node"].named("node")
 
 
-@_hop_query(f"WITH {_HOP} SELECT a AS x, b AS z FROM hop h WHERE NOT EXISTS (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b)")
-def search_exists(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT a AS x, b AS z FROM hop h WHERE NOT EXISTS (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b)")
+def search_exists(spark, sf):
     x, z, y = variables("x z y")
     s = search(_body(Atom("hop", x, z)), [Atom("hop", x, y), Atom("hop", y, z)])
-    return candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s].named()
+    return candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s].named()
 
 
-@_hop_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
-def search_exists_unary(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
+def search_exists_unary(spark, sf):
     x, y = variables("x y")
     s = search(_body(Atom("supplier", x)), [Atom("hop", x, y)])
     t = Tables(spark, sf)
-    return candidates(spark, [s], {"supplier": t["supplier"], "hop": t.hop(below)})[s].named()
+    return candidates(spark, [s], {"supplier": t["supplier"], "hop": t.hop()})[s].named()
 
 
 @_query("""SELECT CAST(c_custkey AS BIGINT) AS c FROM customer WHERE NOT EXISTS
@@ -196,12 +180,12 @@ def search_falsum(spark, sf):
     return candidates(spark, [s], facts)[s].named()
 
 
-@_hop_query(f"{_CLOSURE} SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)")
-def saturate_then_search(spark, sf, below=60):
+@_query(f"{_CLOSURE} SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)")
+def saturate_then_search(spark, sf):
     a, b = variables("a b")
     s = search(_body(Atom("hop", a, b)), [Atom("hop", b, a)])
     session = Deduction(spark, [_transitive()], [s])
-    session.insert("hop", Tables(spark, sf).hop(below).named("a", "b"))
+    session.insert("hop", Tables(spark, sf).hop().named("a", "b"))
     session.advance(1)
     return session.candidates()[s].named()
 
@@ -224,19 +208,14 @@ def weighted_join(spark, sf):
     return lower(plan, {"view": views, "region": t["region"]}, spark).consolidated().df.groupBy(F.col("_w").alias("multiplicity")).agg(F.count(F.lit(1)).alias("users"))
 
 
-_WANTED = """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey < 10)"""
+_PAIRS = """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey AS VARCHAR) AS n FROM supplier)"""
 
 
-_ALL = _WANTED.removesuffix(" WHERE s_suppkey < 10)") + ")"
-
-
-def _supplier_space(spark, sf, below=10):
+def _supplier_space(spark, sf):
     t = Tables(spark, sf)
-    near = t.raw("supplier")
-    near = near if below is None else near.where(F.col("s_suppkey") < below)
     nations = t.raw("nation").select(F.lit(0).cast("long").alias("choice_id"), F.concat(F.lit("nation "), F.col("n_nationkey")).alias("atom"))
-    suppliers = near.select(F.lit(1).cast("long").alias("choice_id"), F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("atom"))
-    pairs = near.select(F.col("s_suppkey").alias("region_id"), F.explode(F.array(F.concat(F.lit("supplier "), F.col("s_suppkey")), F.concat(F.lit("nation "), F.col("s_nationkey")))).alias("atom"))
+    suppliers = t.raw("supplier").select(F.lit(1).cast("long").alias("choice_id"), F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("atom"))
+    pairs = t.raw("supplier").select(F.col("s_suppkey").alias("region_id"), F.explode(F.array(F.concat(F.lit("supplier "), F.col("s_suppkey")), F.concat(F.lit("nation "), F.col("s_nationkey")))).alias("atom"))
     return nations.unionByName(suppliers), pairs
 
 
@@ -244,36 +223,105 @@ def _pair(states: DataFrame) -> DataFrame:
     return states.select(F.element_at("state", 1).alias("nation"), F.element_at("state", 2).alias("supplier"))
 
 
-@_query(f"{_WANTED} SELECT 'nation ' || n_nationkey AS nation, 'supplier ' || k AS supplier FROM nation, s WHERE CAST(n_nationkey AS VARCHAR) <> s.n")
+@_query(f"{_PAIRS} SELECT 'nation ' || n_nationkey AS nation, 'supplier ' || k AS supplier FROM nation, s WHERE CAST(n_nationkey AS VARCHAR) <> s.n")
 def coverage_gaps(spark, sf):
     return _pair(gaps(spark, *_supplier_space(spark, sf)))
 
 
-@_query(f"{_WANTED} SELECT 'nation ' || n AS nation, 'supplier ' || k AS supplier FROM s WHERE k = '3'")
+@_query(f"{_PAIRS} SELECT 'nation ' || n AS nation, 'supplier ' || k AS supplier FROM s WHERE k = '3'")
 def coverage_overlap(spark, sf):
     return _pair(overlaps(spark, *_supplier_space(spark, sf), ["supplier 3"]))
 
 
-@_query(f"{_ALL} SELECT 'nation ' || n_nationkey AS nation, 'supplier ' || k AS supplier FROM nation, s WHERE CAST(n_nationkey AS VARCHAR) <> s.n")
-def coverage_gaps_whole(spark, sf):
-    return _pair(gaps(spark, *_supplier_space(spark, sf, None)))
+def _nations(spark, sf) -> list:
+    """(nation, region, number of regions): declared constraints, 25 rows."""
+    t = Tables(spark, sf)
+    regions = t.raw("region").agg(F.count(F.lit(1)).alias("n"))
+    return t.raw("nation").crossJoin(F.broadcast(regions)).select("n_nationkey", "n_regionkey", "n").orderBy("n_nationkey").collect()
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def coverage_witness(spark, sf):
+    """For each nation the one region that is left when all others are fathomed."""
+    found = []
+    for nation, region, n in _nations(spark, sf):
+        space = Coverage()
+        space.declare_choice(range(n))
+        for r in range(n):
+            if r != region:
+                space.add_nogood([r])
+        found += [(nation, r) for r in space.gap_witness()]
+    return spark.createDataFrame(found, "nation long, region long")
+
+
+@_query("""SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST((n_regionkey + 1) % (SELECT count(*) FROM region) AS BIGINT) AS region, policy, 2 AS kept
+  FROM nation, (VALUES ('ONE_SHOT'), ('IN_ORDER'), ('GREEDY')) p(policy)""")
+def coverage_reduce(spark, sf):
+    """A nation with a region that is not its own is clear of all pairs; a third choice plays no part and is dropped."""
+    rows, space = _nations(spark, sf), Coverage()
+    for choice in ([f"nation {r[0]}" for r in rows], [f"region {r}" for r in range(rows[0][2])], ["lit", "dark"]):
+        space.declare_choice(choice)
+    for nation, region, _ in rows:
+        space.add_nogood([f"nation {nation}", f"region {region}"])
+    found = []
+    for nation, region, n in rows:
+        for policy in (Reduction.ONE_SHOT, Reduction.IN_ORDER, Reduction.GREEDY):
+            kept = space.disjoint_from_nogoods([f"nation {nation}", f"region {(region + 1) % n}", "lit"], policy)
+            words = dict(a.split() for a in kept if " " in a)
+            found.append((int(words["nation"]), int(words["region"]), policy.name, len(kept)))
+    return spark.createDataFrame(found, "nation long, region long, policy string, kept int")
+
+
+@_query("""SELECT CAST(s_suppkey AS BIGINT) AS s, NOT (a AND b AND c) AS not_all, a OR b OR c AS at_least_one, x <= 1 AS at_most_one, x = 1 AS exactly_one,
+  c = (a AND b) AS stands_for_all, c = (a OR b) AS stands_for_either
+  FROM (SELECT s_suppkey, a, b, c, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) AS x
+        FROM (SELECT s_suppkey, s_acctbal < 5000 AS a, s_nationkey < 12 AS b, s_suppkey % 2 = 0 AS c FROM supplier))""")
+def gadget_constraints(spark, sf):
+    a, b, c = F.col("s_acctbal") < 5000, F.col("s_nationkey") < 12, F.col("s_suppkey") % 2 == 0
+    found = {"not_all": gadgets.not_all([a, b, c]), "at_least_one": gadgets.at_least_one([a, b, c]), "at_most_one": gadgets.at_most_one([a, b, c]), "exactly_one": gadgets.exactly_one([a, b, c])}
+    found |= {"stands_for_all": gadgets.stands_for_all(c, [a, b]), "stands_for_either": gadgets.stands_for_either(c, a, b)}
+    return Tables(spark, sf).raw("supplier").select(F.col("s_suppkey").cast("long").alias("s"), *[v.alias(k) for k, v in found.items()])
+
+
+@_query(f"WITH {_HOP} SELECT x.a, x.b FROM hop x JOIN hop y ON x.a = y.b AND x.b = y.a")
+def intersect(spark, sf):
+    """A natural join on all variables: edges that go both ways."""
+    a, b = variables("a b")
+    hop = Tables(spark, sf).hop().stored()
+    return lower(natural_join((scan(Atom("hop", a, b)), scan(Atom("hop", b, a)))), {"hop": hop}, spark).named()
 
 
-@_query(f"{_ALL} SELECT 'nation ' || n AS nation, 'supplier ' || k AS supplier FROM s WHERE k = '3'")
-def coverage_overlap_whole(spark, sf):
-    return _pair(overlaps(spark, *_supplier_space(spark, sf, None), ["supplier 3"]))
+@_query("SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS s FROM lineitem")
+def sink_values(spark, sf):
+    o, p, s = variables("o p s")
+    found = lower(project(scan(Atom("item", o, p, s)), [s]), Tables(spark, sf).all("item"), spark)
+    return sink_all({"s": found})["s"].values().toDF("s")
+
+
+@_query("""WITH i AS (SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey)
+  SELECT DISTINCT a.n AS a, b.n AS b FROM i a JOIN i b ON a.r = b.r WHERE a.r <> 'ASIA'""")
+def text_keys(spark, sf):
+    """Rules over names: new predicates, recursion, constants and a search, all on text."""
+    a, b, c, r = variables("a b c r")
+    names = Tables(spark, sf).raw("nation").join(Tables(spark, sf).raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    rules = [rule(Atom("near", a, b), Atom("lies", a, r), Atom("lies", b, r)), rule(Atom("near", a, c), Atom("near", a, b), Atom("near", b, c)), rule(Atom("left_out", a), Atom("lies", a, "ASIA"))]
+    s = search(_body(Atom("near", a, b)), [Atom("left_out", a)], [Atom("never", a)])
+    session = Deduction(spark, rules, [s])
+    session.insert("lies", names)
+    session.advance(1)
+    return session.candidates()[s].named()
 
 
-@_hop_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
-def goal_nullary(spark, sf, below=60):
+@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 1")
+def goal_nullary(spark, sf):
     rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 1))]
-    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})["goal"])
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
 
 
-@_hop_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 7")
-def goal_nullary_twin(spark, sf, below=60):
+@_query(f"{_CLOSURE} SELECT CAST(1 AS BIGINT) AS holds FROM r WHERE a = 0 AND b = 7")
+def goal_nullary_twin(spark, sf):
     rules = [_transitive(), rule(Atom("goal"), Atom("hop", 0, 7))]
-    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop(below)})["goal"])
+    return _holds(saturate(spark, rules, {"hop": Tables(spark, sf).hop()})["goal"])
 
 
 @_query("SELECT CAST(1 AS BIGINT) AS holds")
@@ -281,30 +329,30 @@ def no_antecedent(spark, sf):
     return _holds(saturate(spark, [rule(Atom("p"))], {})["p"])
 
 
-@_hop_query(f"WITH {_HOP} SELECT CAST(1 AS BIGINT) AS holds WHERE NOT EXISTS (SELECT 1 FROM hop WHERE a = b)")
-def empty_key_suppression(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT CAST(1 AS BIGINT) AS holds WHERE NOT EXISTS (SELECT 1 FROM hop WHERE a = b)")
+def empty_key_suppression(spark, sf):
     (x,) = variables("x")
     s = search(Body([], []), [Atom("hop", x, x)])
-    return _holds(candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s])
+    return _holds(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s])
 
 
-@_hop_query(f"{_CLOSURE} SELECT a, b FROM r")
-def epochs_insert(spark, sf, below=60):
+@_query(f"{_CLOSURE} SELECT a, b FROM r")
+def epochs_insert(spark, sf):
     session = Deduction(spark, [_transitive()])
     t = Tables(spark, sf)
-    half = below // 2 if below else (t.raw("lineitem").agg(F.max("l_orderkey")).first()[0] or 0) // 2
+    half = (t.raw("lineitem").agg(F.max("l_orderkey")).first()[0] or 0) // 2
     session.insert("hop", t.hop(half).named("a", "b"))
     session.advance(1)
-    session.insert("hop", t.hop(below).minus(t.hop(half)).named("a", "b"))
+    session.insert("hop", t.hop().minus(t.hop(half)).named("a", "b"))
     session.advance(2)
     return session.facts("hop").named("a", "b")
 
 
-@_hop_query(f"""WITH RECURSIVE {_HOP}, kept AS (SELECT a, b FROM hop WHERE a >= 5),
+@_query(f"""WITH RECURSIVE {_HOP}, kept AS (SELECT a, b FROM hop WHERE a >= 5),
   r(a, b) AS (SELECT a, b FROM kept UNION SELECT r.a, kept.b FROM r JOIN kept ON r.b = kept.a) SELECT a, b FROM r""")
-def epochs_remove(spark, sf, below=60):
+def epochs_remove(spark, sf):
     session = Deduction(spark, [_transitive()])
-    hop = Tables(spark, sf).hop(below).stored()
+    hop = Tables(spark, sf).hop().stored()
     session.insert("hop", hop.named("a", "b"))
     session.advance(1)
     session.remove("hop", hop.named("a", "b").where("a < 5"))
@@ -312,20 +360,20 @@ def epochs_remove(spark, sf, below=60):
     return session.facts("hop").named("a", "b")
 
 
-@_hop_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
-def capture_bag(spark, sf, below=60):
+@_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
+def capture_bag(spark, sf):
     x, y, z = variables("x y z")
-    return lower(plan_body(Body([x, z], [Atom("hop", x, y), Atom("hop", y, z)]), {"hop": 2}), {"hop": Tables(spark, sf).hop(below)}, spark).named()
+    return lower(plan_body(Body([x, z], [Atom("hop", x, y), Atom("hop", y, z)]), {"hop": 2}), {"hop": Tables(spark, sf).hop()}, spark).named()
 
 
-@_hop_query(f"""WITH {_HOP}, lacking AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM hop h WHERE NOT EXISTS
+@_query(f"""WITH {_HOP}, lacking AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM hop h WHERE NOT EXISTS
   (SELECT 1 FROM hop p JOIN hop q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b))
   SELECT a, CAST(1000000 + k AS BIGINT) AS b FROM lacking UNION ALL SELECT CAST(1000000 + k AS BIGINT), b FROM lacking""")
-def skolem_instances(spark, sf, below=60):
+def skolem_instances(spark, sf):
     """For each candidate a fresh supplier in between, and the two edges through it."""
     x, z, y = variables("x z y")
     heads = Atom("hop", x, y), Atom("hop", y, z)
     s = search(_body(Atom("hop", x, z)), heads)
-    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop(below)})[s], [y], 1_000_000).stored()
+    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s], [y], 1_000_000).stored()
     first, second = (instantiate_head(found, h).named("a", "b") for h in heads)
     return first.unionByName(second)

@@ -38,7 +38,7 @@ class Tables:
     def with_priority(self, priority: str) -> Relation:
         return Relation.facts(self.raw("orders").where(F.col("o_orderpriority") == priority).select("o_orderkey"))
 
-    def hop(self, below: int | None = 60) -> Relation:
+    def hop(self, below: int | None = None) -> Relation:
         """Suppliers of neighbouring lines of an order, as a set; only orders below the key, if one is given."""
         lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
         lines = lines if below is None else lines.where(F.col("l_orderkey") < below)
