@@ -105,10 +105,6 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return by_batch(id_and_text(docs), run, "doc_id long, n_shingles long, digest binary, filed array<long>")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.intersect1d(a, b, assume_unique=True)
-
-
 class _Labels:
     """Components of the links found so far; the smaller one takes the label of the larger."""
 
@@ -123,8 +119,8 @@ class _Labels:
 
 
 class _Sketches:
-    """Sketches of sorted hash sets, values numbered from the rarest of the task to the most frequent. ``rows``: the numbers of
-    each sketch in ascending order, filled up with ``none``."""
+    """Sketches of sorted hash sets. ``rows``: the places of each sketch's values among all values of the task, ascending, filled up
+    with ``none``. ``owner`` and ``value``: the inverted lists, values numbered from the rarest of the task to the most frequent."""
 
     def __init__(self, values: list[np.ndarray], side: np.ndarray, percent: int) -> None:
         self.values, self.side, self.percent = values, side, percent
@@ -136,10 +132,12 @@ class _Sketches:
         number = np.empty(self.none, np.int64)
         number[np.lexsort((distinct, count))] = np.arange(self.none)
         owner, numbers = np.repeat(np.arange(n), lengths), number[at]
-        numbers = numbers[np.lexsort((numbers, owner))]
         column = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.rows = np.full((n, K), self.none, np.int32)
-        self.rows[owner, column] = numbers
+        self.rows[owner, column] = at
+        self.hit, self.place = np.zeros(self.none + 1, bool), np.zeros(self.none + 1, np.int32)
+        self.full: tuple | None = None
+        numbers = numbers[np.lexsort((numbers, owner))]
         # how many sketch values a set shares at least with any that it can be linked with; the rarest others are enough to meet
         least = -(-percent * self.sizes // 100)
         least = np.where(100 * self.sizes // percent <= K, least, np.where(least >= K, self.low, np.ceil(least * (self.low / K)))).astype(np.int64)
@@ -154,17 +152,35 @@ class _Sketches:
         enough = np.where(large <= K, 100 * counts >= self.percent * (a + b - counts), counts >= np.where(small >= K, self.low, np.ceil(small * (self.low / K))))
         return enough & (100 * small >= self.percent * large) & (counts > 0)
 
-    def linked(self, x: int, y: int) -> bool:
-        """For a pair that fits: by the union-sketch estimate, then on the full sets."""
-        a, b = self.values[x], self.values[y]
-        if max(len(a), len(b)) <= K:
-            return True
-        if min(len(a), len(b)) >= K:  # the union's own sketch: its share of common values estimates the likeness
-            top = np.union1d(a[:K], b[:K])[K - 1]
-            if np.count_nonzero(_common(a[:K], b[:K]) <= top) < self.low:
-                return False
-        both = len(_common(a, b))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
+    def mark(self, x: int, on: bool) -> None:
+        """Notes x as the set that others are compared with, or takes that back."""
+        mine = self.rows[x, : min(K, self.sizes[x])]
+        self.hit[mine] = on
+        self.place[mine] = np.arange(len(mine))
+
+    def linked(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Which of ``ys`` are linked with the marked set x; all fit. By the union-sketch estimate, then on the full sets."""
+        small, large = np.minimum(self.sizes[x], self.sizes[ys]), np.maximum(self.sizes[x], self.sizes[ys])
+        out = large <= K
+        check = ~out
+        if (sketched := small >= K).any():
+            # a common value that is number t of them, at places p and q, is number p + q - t of the union: among its K smallest?
+            rows = self.rows[ys]
+            both = self.hit[rows]
+            near = np.arange(K) + self.place[rows] - np.cumsum(both, axis=1) + 1 < K
+            check &= ~sketched | ((both & near).sum(axis=1) >= self.low)
+        if (at := np.flatnonzero(check)).size:
+            if self.full is None:
+                distinct, places = np.unique(np.concatenate(self.values), return_inverse=True)
+                self.full = places.astype(np.int32), np.concatenate([[0], np.cumsum(self.sizes)]), np.zeros(len(distinct), bool)
+            places, begin, hit = self.full
+            mine = places[begin[x] : begin[x + 1]]
+            hit[mine] = True
+            theirs = [places[begin[y] : begin[y + 1]] for y in ys[at].tolist()]
+            both = np.add.reduceat(hit[np.concatenate(theirs)], np.cumsum([0, *map(len, theirs[:-1])]), dtype=np.int64)
+            hit[mine] = False
+            out[at] = 100 * both >= self.percent * (self.sizes[x] + self.sizes[ys[at]] - both)
+        return out
 
     def overlaps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common sketch values of each pair."""
@@ -190,13 +206,17 @@ def links_among(values: list[np.ndarray], side: np.ndarray, percent: int) -> lis
     s, labels, out = _Sketches(values, side, percent), _Labels(n), []
     owner, value = s.owner, s.value
 
-    def settle(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> None:
-        fit = s.fits(x, y, counts) & ((side[x] != side[y]) | (not across))
-        x, y, counts = x[fit], y[fit], counts[fit]
-        for i in np.argsort(-counts, kind="stable").tolist():
-            if labels.of[x[i]] != labels.of[y[i]] and s.linked(int(x[i]), int(y[i])):
-                labels.join(x[i], y[i])
-                out.append((int(x[i]), int(y[i])))
+    def settle(x: int, ys: np.ndarray, counts: np.ndarray) -> None:
+        """Links x, which is marked, to sets of other components, the most alike ones first."""
+        fit = s.fits(x, ys, counts) & ((side[x] != side[ys]) | (not across))
+        ys = ys[fit][np.argsort(-counts[fit], kind="stable")]
+        size = 16
+        while len(ys := ys[labels.of[ys] != labels.of[x]]):
+            some, ys, size = ys[:size], ys[size:], min(4096, 4 * size)
+            for y in some[s.linked(x, some)].tolist():
+                if labels.of[x] != labels.of[y]:
+                    labels.join(x, y)
+                    out.append((x, y))
 
     after = np.flatnonzero(value[1:] == value[:-1]) + 1  # entries with a neighbour before them in their list
     by_set = after[np.argsort(owner[after], kind="stable")]  # ascending by value inside a set
@@ -204,7 +224,12 @@ def links_among(values: list[np.ndarray], side: np.ndarray, percent: int) -> lis
     last = np.flatnonzero(np.diff(owner[by_set], append=-1))
     near = by_set[np.unique(np.concatenate([first, last]))]
     x, y = owner[near], owner[near - 1]
-    settle(x, y, s.overlaps(x, y))
+    counts = s.overlaps(x, y)
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    for a, b in zip(starts.tolist(), np.append(starts, len(x))[1:].tolist(), strict=True):
+        s.mark(x[a], True)
+        settle(int(x[a]), y[a:b], counts[a:b])
+        s.mark(x[a], False)
 
     if len(value):
         starts = np.flatnonzero(np.diff(value, prepend=-1))
@@ -215,7 +240,7 @@ def links_among(values: list[np.ndarray], side: np.ndarray, percent: int) -> lis
         entries = np.flatnonzero(open_[of_list] & (starts[of_list] < np.arange(len(value))))
         entries = entries[np.argsort(owner[entries], kind="stable")]
         cuts = np.flatnonzero(np.diff(owner[entries], prepend=-1))
-        seen, hit = np.zeros(n, bool), np.zeros(s.none + 1, bool)
+        seen = np.zeros(n, bool)
         for mine in np.split(entries, cuts[1:]) if len(entries) else []:
             x = int(owner[mine[0]])
             for a, b in zip(starts[of_list[mine]].tolist(), mine.tolist(), strict=True):
@@ -226,11 +251,9 @@ def links_among(values: list[np.ndarray], side: np.ndarray, percent: int) -> lis
             if across:
                 found = found[side[found] != side[x]]
             if len(found):
-                hit[s.rows[x]] = True
-                hit[s.none] = False
-                counts = hit[s.rows[found]].sum(axis=1)
-                hit[s.rows[x]] = False
-                settle(np.full(len(found), x), found, counts)
+                s.mark(x, True)
+                settle(x, found, s.hit[s.rows[found]].sum(axis=1))
+                s.mark(x, False)
     return out
 
 
