@@ -6,7 +6,8 @@ and each group is packed in one task, so a group wastes at most part of a sequen
 opens bins; then documents are moved, exchanged one for one or two for one from an underfull bin to one at least as full, always
 so that the sum of squared fills grows, until a pass over all bins finds no such step; bins that run empty are gone.
 
-Null and empty texts are one end-of-document token. Every row is packed, also repeated ones. Extra columns are not read."""
+Null and empty texts are one end-of-document token. Every row is packed, also repeated ones and ones without an id; an empty table
+gives an empty result. Texts of any length are packed whole. Extra columns are not read, so they cannot clash."""
 
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ word-piece lengths take one pass over the characters, whatever the vocabulary, a
 Words are cut at blanks and every other character but letters, digits and marks is a word by itself. A word without a
 segmentation counts as one unknown token. Counts of short words are remembered, at most CACHE_MAX a worker.
 
-Nulls and texts without words have no tokens. One row per row of the input, nothing is shuffled; extra columns are not read."""
+Nulls and texts without words have no tokens. Texts of any length are counted whole, repeated rows get the same count, and an empty
+table gives an empty result. One row per row of the input, nothing is shuffled; extra columns are not read, so they cannot clash."""
 
 from __future__ import annotations
 
