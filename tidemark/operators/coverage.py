@@ -213,7 +213,20 @@ class Coverage:
             if clash and not core.keys() & set(clash):
                 core[clash[0]] = given[clash[0]]
         core = {a: v for a, v in given.items() if a in core}
-        return core if self._solve(core, True) is None else given
+        if self._solve(core, True) is None:
+            return core
+        # some region is kept away only through choices in between: runs of assumptions are left out, long runs first
+        kept, run = list(given), len(given) // 2
+        while run:
+            at = 0
+            while at < len(kept):
+                rest = kept[:at] + kept[at + run :]
+                if self._solve({a: given[a] for a in rest}, True) is None:
+                    kept = rest
+                else:
+                    at += run
+            run //= 2
+        return {a: given[a] for a in kept}
 
     def _reduce(self, given: dict[str, bool], policy: Reduction) -> dict[str, bool]:
         if policy is Reduction.ONE_SHOT:
