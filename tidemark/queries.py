@@ -360,6 +360,24 @@ def epochs_remove(spark, sf):
     return session.facts("hop").named("a", "b")
 
 
+@_query("""WITH kept AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag <> 'R'),
+  served AS (SELECT DISTINCT o_custkey AS c, s FROM kept JOIN orders ON o = o_orderkey)
+  SELECT 'sells' AS fact, CAST(s AS BIGINT) AS a, CAST(p AS BIGINT) AS b FROM (SELECT DISTINCT s, p FROM kept)
+  UNION ALL SELECT 'served', CAST(c AS BIGINT), CAST(s AS BIGINT) FROM served""")
+def epochs_retract(spark, sf):
+    """Returned lines are taken back in a second epoch: what only they support falls, what other lines support as well comes back."""
+    t, (o, p, s, c) = Tables(spark, sf), variables("o p s c")
+    session = Deduction(spark, [rule(Atom("sells", s, p), Atom("item", o, p, s)), rule(Atom("served", c, s), Atom("placed", c, o), Atom("item", o, p, s))])
+    line = lambda keep: t.raw("lineitem").where(f"l_returnflag {keep} 'R'").select("l_orderkey", "l_partkey", "l_suppkey")
+    session.insert("item", line("<>").unionByName(line("=")))
+    session.insert("placed", t["placed"].named("c", "o"))
+    session.advance(1)
+    session.remove("item", line("="))
+    session.advance(2)
+    named = lambda name: session.facts(name).named("a", "b").select(F.lit(name).alias("fact"), "a", "b")
+    return named("sells").unionByName(named("served"))
+
+
 @_query(f"WITH {_HOP} SELECT x.a AS x, y.b AS z FROM hop x JOIN hop y ON x.b = y.a")
 def capture_bag(spark, sf):
     x, y, z = variables("x y z")
