@@ -29,6 +29,7 @@ def columns_of(shape: Shape) -> list[str]:
 class Relation:
     shape: Shape
     df: DataFrame
+    rows: int | None = None  # how many, where that was counted, or more
 
     @property
     def columns(self) -> list[str]:
@@ -88,7 +89,10 @@ class Relation:
         return self.with_df(self.df.join(other.df.select(*other.columns), self.columns, "left_anti").select(*self.df.columns))
 
     def stored(self) -> Relation:
-        return self.with_df(cut(self.df))
+        return Relation(self.shape, cut(self.df), self.rows)
+
+    def counted(self) -> Relation:
+        return Relation(self.shape, self.df, self.df.count())
 
     def named(self, *names: str) -> DataFrame:
         """The tuples under other column names."""
@@ -103,4 +107,5 @@ def concat(relations: Sequence[Relation]) -> Relation:
     if any(r.signed for r in relations):
         relations = [r.weighted() for r in relations]
     keep = first.columns + [WEIGHT] * any(r.signed for r in relations)
-    return first.with_df(reduce(DataFrame.unionByName, [r.df.select(*keep) for r in relations]))
+    rows = None if any(r.rows is None for r in relations) else sum(r.rows for r in relations)
+    return Relation(first.shape, reduce(DataFrame.unionByName, [r.df.select(*keep) for r in relations]), rows)
