@@ -5,8 +5,9 @@ import random
 import pytest
 
 from tests.test_saturation_and_epochs import naive, rows
-from tidemark.functions.terms import Atom, Body, rule, variables
+from tidemark.functions.terms import Atom, Body, rule, search, variables
 from tidemark.operators import packed as module
+from tidemark.operators.candidates import candidates
 from tidemark.operators.packed import packed
 from tidemark.operators.relation import Relation
 from tidemark.operators.saturate import saturate
@@ -58,3 +59,13 @@ def test_when_the_plain_join_is_used(spark, monkeypatch):
     assert len(rows(packed(body, head, {"p": dense}))) == 400
     assert packed(Body([x, y, z], body.atoms), [Atom("h", x, y, z)], {"p": dense}) is None  # the join variable stays
     assert packed(Body([x, y, z], [Atom("p", x, y), Atom("p", z, z)]), [Atom("h", x, z)], {"p": dense}) is None  # no join variable
+
+
+def test_alternatives_of_a_search(spark, always):
+    rng = random.Random(5)
+    edges = sorted({(rng.randint(-3, 9), rng.randint(-3, 9)) for _ in range(40)})
+    s = search(Body([x, z], [Atom("edge", x, z)]), [Atom("edge", x, y), Atom("edge", y, z)], [Atom("edge", z, z)])
+    facts = {"edge": Relation.literal(spark, 2, edges)}
+    want = [(a, c) for a, c in edges if (c, c) not in edges and not any(p == a and (q, c) in edges for p, q in edges)]
+    assert want and rows(candidates(spark, [s], facts)[s]) == want
+    assert rows(candidates(spark, [s], {"edge": facts["edge"].counted()})[s]) == want

@@ -149,7 +149,7 @@ def several_heads(spark, sf):
 def search_exists(spark, sf):
     x, z, y = variables("x z y")
     s = search(_body(Atom("hop", x, z)), [Atom("hop", x, y), Atom("hop", y, z)])
-    return candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s].named()
+    return candidates(spark, [s], {"hop": Tables(spark, sf).hop().stored().counted()})[s].named()
 
 
 @_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
@@ -392,6 +392,6 @@ def skolem_instances(spark, sf):
     x, z, y = variables("x z y")
     heads = Atom("hop", x, y), Atom("hop", y, z)
     s = search(_body(Atom("hop", x, z)), heads)
-    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop()})[s], [y], 1_000_000).stored()
+    found = skolemize(candidates(spark, [s], {"hop": Tables(spark, sf).hop().stored().counted()})[s], [y], 1_000_000).stored()
     first, second = (instantiate_head(found, h).named("a", "b") for h in heads)
     return first.unionByName(second)
