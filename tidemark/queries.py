@@ -152,6 +152,16 @@ def search_exists(spark, sf):
     return candidates(spark, [s], {"hop": Tables(spark, sf).hop().stored().counted()})[s].named()
 
 
+@_query("""SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_partkey AS BIGINT) AS p FROM lineitem WHERE NOT EXISTS
+  (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = l_orderkey AND c_nationkey = 3)""")
+def search_two_atoms(spark, sf):
+    """Lines for which no customer of nation 3 placed the order; the customer is existential and joins two atoms."""
+    o, p, s, c = variables("o p s c")
+    wanted = search(Body([o, p], [Atom("item", o, p, s)]), [Atom("placed", c, o), Atom("cust_nation", c, 3)])
+    facts = Tables(spark, sf).all("item", "placed", "cust_nation")
+    return candidates(spark, [wanted], facts)[wanted].named()
+
+
 @_query(f"WITH {_HOP} SELECT CAST(s_suppkey AS BIGINT) AS x FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM hop)")
 def search_exists_unary(spark, sf):
     x, y = variables("x y")
