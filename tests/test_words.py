@@ -1,0 +1,99 @@
+"""Sets of pairs that are kept as words of 64 values, and what is made from them without listing the pairs."""
+
+import random
+
+import pytest
+
+from tests.test_saturation_and_epochs import naive, rows
+from tidemark.functions.terms import Atom, Body, rule, search, variables
+from tidemark.operators import packed as module
+from tidemark.operators.candidates import candidates
+from tidemark.operators.relation import Relation
+from tidemark.operators.saturate import saturate
+from tidemark.streaming.session import Deduction
+
+x, y, z = variables("x y z")
+IDS = [-(2**63), -65, -64, -1, 0, 1, 2, 63, 64, 127, 128, 2**63 - 1]
+CHAIN = rule(Atom("hop", x, z), Atom("hop", x, y), Atom("hop", y, z))
+
+
+@pytest.fixture(params=[0, 10**9], ids=["one by one", "64 at a time"])
+def always(request, monkeypatch):
+    monkeypatch.setattr(module, "PROBE_FROM", 0)
+    monkeypatch.setattr(module, "LEAST_GAIN", 0)
+    monkeypatch.setattr(module, "MOST_MISSES", request.param)
+
+
+def some(seed, n=40):
+    rng = random.Random(seed)
+    return [(rng.choice(IDS), rng.choice(IDS)) for _ in range(n)]
+
+
+def test_kept_turned_and_taken_away(spark):
+    a, b = some(1, 60), some(2, 60)
+    left, right = (Relation.literal(spark, 2, r).packed() for r in (a, b))
+    assert left.rows == len(set(a)) and rows(left) == sorted(set(a)) and rows(left.distinct()) == sorted(set(a))
+    assert rows(left.minus(right)) == sorted(set(a) - set(b))
+    other = Relation.of_words(2, right.words_by("_1"))
+    assert other.words.columns[0] == "_1" and rows(other) == sorted(set(b)) and rows(left.minus(other)) == sorted(set(a) - set(b))
+    assert Relation.literal(spark, 2, [("m", 1)] * 2).packed().rows == 1
+
+
+def check(spark, rules, edges, names):
+    found = saturate(spark, rules, {"hop": Relation.literal(spark, 2, edges)})
+    want = naive(rules, {"hop": edges})
+    for name in names:
+        words = {(a, b >> 6) for a, b in want[name]}
+        assert rows(found[name]) == sorted(want[name]) and found[name].words.count() == len(words), name
+
+
+def test_two_steps(spark, always):
+    check(spark, [rule(Atom("two", x, z), Atom("hop", x, y), Atom("hop", y, z))], some(3, 12), ["two", "hop"])
+
+
+def test_closure(spark, always):
+    check(spark, [CHAIN], some(4, 12), ["hop"])
+
+
+def test_closure_of_both_ways(spark, always):
+    check(spark, [CHAIN, rule(Atom("hop", y, x), Atom("hop", x, y))], some(5, 7), ["hop"])
+
+
+def test_odd_and_even(spark, always):
+    rules = [rule(Atom("odd", x, y), Atom("hop", x, y)), rule(Atom("even", x, z), Atom("odd", x, y), Atom("hop", y, z)), rule(Atom("odd", x, z), Atom("even", x, y), Atom("hop", y, z))]
+    check(spark, rules, some(6, 10), ["odd", "even", "hop"])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_goals(spark, always, seed):
+    edges = some(7 + seed, 9)
+    rules = [CHAIN, *[rule(Atom(f"goal{i}"), Atom("hop", 0, i)) for i in (1, 63)]]
+    found, want = saturate(spark, rules, {"hop": Relation.literal(spark, 2, edges)}), naive([CHAIN], {"hop": edges})["hop"]
+    assert found["hop"].words is not None
+    assert [found[f"goal{i}"].df.count() for i in (1, 63)] == [(0, i) in want for i in (1, 63)]
+
+
+def test_searches(spark, always):
+    edges = some(9, 30)
+    hop = Relation.literal(spark, 2, edges).packed()
+    between, back = (search(Body([x, z], [Atom("hop", x, z)]), a) for a in ([Atom("hop", x, y), Atom("hop", y, z)], [Atom("hop", z, x)]))
+    found = candidates(spark, [between, back], {"hop": hop})
+    assert all(r.words is not None for r in found.values())
+    assert rows(found[between]) == sorted({(a, c) for a, c in edges if not any(p == a and (q, c) in edges for p, q in edges)})
+    assert rows(found[back]) == sorted({(a, c) for a, c in edges if (c, a) not in edges})
+
+
+def test_epochs(spark, always, monkeypatch):
+    """A closure grows, then loses edges of one of two parts; the other part stays and nothing is computed anew."""
+    one, two = [(a, b) for a in range(4) for b in range(4, 8)] + [(5, 0)], [(100 + a, 100 + (a + 1) % 7) for a in range(7)]
+    session = Deduction(spark, [CHAIN])
+    session.insert("hop", one[:9] + two)
+    session.advance(1)
+    session.insert("hop", one[4:])  # some twice
+    session.advance(2)
+    assert rows(session.facts("hop")) == sorted(naive([CHAIN], {"hop": one + two})["hop"])
+    session.remove("hop", [(5, 0), one[0], one[4], one[4]])
+    session.advance(3)
+    left = [e for e in one + two if e not in ((5, 0), one[0], one[4])]
+    assert not session._anew and session.facts("hop").words is not None
+    assert rows(session.facts("hop")) == sorted(naive([CHAIN], {"hop": left})["hop"])
