@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -67,3 +68,18 @@ def test_pieces_and_places(spark, odd_docs, no_docs):
                 at += length
             assert at <= 2048
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_letters_are_cut_without_separators():
+    """Chunks of letters are cut at the ids that end words, one call for all; whatever is no single run goes the other way."""
+    words = ["plain", "qqxzvw", "straße", "naïve", "Ωμέγα", "漢字", "한국어", "ﬁne", "ǅ", "ªº", "ʰa", "ét", "İ", "하", "a1", "don't", "x$$$", "<|x|>", "</w>", "ͅ", "Å"]
+    ids = packing.Ids(PATH)
+    assert ids.by_ends
+    one = lambda w: np.array(ids.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    for some in (words, [w for w in words if w.isalpha()], ["İ", "plain"], ["a1"], []):
+        assert ids._encode([w.encode() for w in some]) == [one(w) for w in some]
+    asked = []
+    whole = ids._apart
+    ids._apart = lambda texts: asked.extend(texts) or whole(texts)
+    ids._encode([w.encode() for w in ("plain", "qqxzvw", "straße", "a1")])
+    assert asked == ["a1"]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ class Ids:
 
     For tokenizers that drop white space and cut texts there, so that the ids of a text are those of its chunks between
     ASCII blanks one after the other. Ids of short chunks are remembered, at most CACHE_MAX; the unknown chunks of some
-    texts are encoded in one call, with SEPARATOR between them where the tokenizer has one id for it."""
+    texts are encoded in one call, with SEPARATOR between them where the tokenizer has one id for it. Chunks of letters alone need
+    none: each is one run, whose last id, and no other, is of a token that ends a word."""
 
+    WORD_END = "</w>"
     SEPARATOR, AT_ONCE = "\x01", 2 << 20  # bytes of text whose unknown chunks are encoded together
 
     def __init__(self, path: str) -> None:
@@ -44,10 +47,30 @@ class Ids:
         self.known: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(f" {self.SEPARATOR} ", add_special_tokens=False).ids
         self.separator_id = mark[0] if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        # only if every byte may end a word there is such an id for each run
+        self.by_ends = sum(len(token) == len(self.WORD_END) + 1 and token.endswith(self.WORD_END) for token in vocabulary) == 256
         self.marks = dict(zip((b".", b","), self._encode([b".", b","]), strict=True))
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
+        letters = [i for i, text in enumerate(texts) if text.isalpha()] if self.by_ends else []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(letters):  # some letter is none to the tokenizer
+            return self._apart(texts)
+        raw, out = ids.tobytes(), [b""] * len(texts)
+        for i, a, b in zip(letters, [0, *ends], ends, strict=False):
+            out[i] = raw[4 * a : 4 * b]
+        others = [i for i, text in enumerate(texts) if not text.isalpha()] if self.by_ends else range(len(texts))
+        for i, found in zip(others, self._apart([texts[i] for i in others]), strict=True):
+            out[i] = found
+        return out
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """Ids of chunks of any kind."""
         joined = f" {self.SEPARATOR} ".join(texts)
         if self.separator_id is not None and joined.count(self.SEPARATOR) == len(texts) - 1:
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
@@ -58,29 +81,36 @@ class Ids:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: set[bytes]) -> list[bytes]:
-        """Adds the ids of chunks that are not known, and names those that are too many or too long to be remembered. A full stop
-        or comma after a letter is always a token run of its own, so such chunks are put together from their two parts."""
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not known, of which some are remembered, if they are not too many or too long. A full stop or comma
+        after a letter is always a token run of its own, so such chunks are put together from their two parts."""
         known, marks = self.known, self.marks
         cores = {c: c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in chunks}
         new = list({core for core in cores.values() if core not in known})
-        room = CACHE_MAX - len(known)
-        known.update(zip(new, self._encode(new), strict=True))
-        ended = {c: known[core] + marks[c[-1:]] for c, core in cores.items() if core is not c}
-        known.update(ended)
-        added = [*new, *ended]
-        return [c for i, c in enumerate(added) if i >= room or len(c) >= 64]
+        found = dict(zip(new, self._encode(new), strict=True))
+        for c, core in cores.items():
+            if core is not c:
+                found[c] = (found.get(core) or known[core]) + marks[c[-1:]]
+        if (room := CACHE_MAX - len(known)) > 0:
+            known.update(islice(((c, ids) for c, ids in found.items() if len(c) < 64), room))
+        return found
 
     def _some(self, texts: list[bytes]) -> Iterator[bytes]:
         # ids do not depend on case, but for the names of special tokens
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        missing = set().union(*split).difference(self.known)
-        forget = self._learn(missing) if missing else []
-        find = self.known.__getitem__
-        for chunks in split:
-            yield b"".join(map(find, chunks)) + END
-        for c in forget:
-            self.known.pop(c, None)
+        read, missing, get = [], set(), self.known.get
+        for text in texts:
+            chunks = (text if b"<|" in text else text.lower()).split()
+            ids = list(map(get, chunks))
+            at = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            lacking = [chunks[i] for i in at]
+            missing.update(lacking)
+            read.append((ids, at, lacking))
+        found = self._learn(missing) if missing else {}
+        for ids, at, lacking in read:
+            for i, c in zip(at, lacking, strict=True):
+                ids[i] = found[c]
+            ids.append(END)
+            yield b"".join(ids)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         some, size = [], 0
