@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, free_names, held, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, free_names, give_back, held, id_and_text, raw_texts
 from tidemark.llm.graph import components
 from tidemark.session import cut
 
@@ -39,6 +39,7 @@ WORDS = 5
 K, INDEXED, MISS = 64, 16, 1e-7
 BLOCK = 1_000_000  # shingles in a block: 8 MB
 SET_COST = 64  # a set weighs as much as so many shingles at least, so a block holds BLOCK / SET_COST sets at most, about
+GIVE_FROM = 8 << 20  # bytes of a group's sets from which their memory is given back at once
 LISTS_FROM = 32  # groups of more blocks than this are taken list by list
 _CACHE_MAX = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -313,6 +314,10 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, words: int =
         values = [np.frombuffer(raw, np.uint64) for (_, raw), _ in rows]
         links = links_among(values, np.array([side for _, side in rows]), percent)
         yield pa.record_batch([pa.array([rows[x][0][0] for x, _ in links], pa.int64()), pa.array([rows[y][0][0] for _, y in links], pa.int64())], names=["a", "b"])
+        size = sum(len(raw) for _, raw in found)
+        del found, rows, values
+        if size >= GIVE_FROM:
+            give_back()
 
     return dealt.select("task", "side", "node", "hashes").groupBy("task").applyInArrow(compare, "a long, b long")
 

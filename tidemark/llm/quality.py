@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, held, id_and_text, raw_texts
+from tidemark.llm.common import by_batch, give_back, held, id_and_text, raw_texts
 
 LOG_WIDTH, SAMPLE, LEAST_DOCS = 20, 6000, 3
 CHUNK = 64  # bytes; longer tokens count as consecutive tokens of so many
@@ -232,5 +232,6 @@ def select(docs: DataFrame, model: OrdinalModel, keep_grade: int = KEEP_GRADE, k
         scorer = held(("scorer", model.key()), lambda: Scorer(model))
         for batch in batches:
             yield batch.filter(pa.array(_judge(model, scorer, raw_texts(batch.column(at)), keep_grade, keep_tail)[2]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
