@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.terms import Var
 from tidemark.operators.relation import Relation
-from tidemark.session import cut
+from tidemark.session import cut, keep
 
 
 def skolemize(captures: Relation, fresh: Sequence[Var], start: int) -> Relation:
@@ -19,7 +19,7 @@ def skolemize(captures: Relation, fresh: Sequence[Var], start: int) -> Relation:
     Rows are range-partitioned and ranked within their partitions; the number of rows before each partition is added. Only one
     row per partition is ordered in one place."""
     names, given = captures.columns, tuple(captures.shape)
-    rows = captures.distinct().df
+    rows = keep(captures.distinct().df)  # the ranges are found in a pass of their own
     ranged = cut(rows.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
