@@ -1,6 +1,5 @@
 import random
 
-import duckdb
 import numpy as np
 import pytest
 
